@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gleaner.llm import exact_dedup
+from gleaner.llm import exact_dedup, packing
 
 QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 SQL = {

@@ -43,6 +43,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"], _powers["i"]
 
 
+def hash_spans(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans [start, end) of ``b``."""
+    p, inv = _power_tables(len(b) + 1)
+    acc = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTE[b] * p[: len(b)], out=acc[1:])
+    return _mix((acc[ends] - acc[starts]) * inv[starts])
+
+
 def _hash_piece(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes with starts and ends (byte offsets) of one piece that no word straddles."""
     b = np.frombuffer(raw, np.uint8)
@@ -50,11 +58,7 @@ def _hash_piece(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     gap[1:-1] = _SPACE[b]
     edges = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edges[0::2], edges[1::2]
-    p, inv = _power_tables(len(b) + 1)
-    acc = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * p[: len(b)], out=acc[1:])
-    h = (acc[ends] - acc[starts]) * inv[starts]
-    return _mix(h), starts, ends
+    return hash_spans(b, starts, ends), starts, ends
 
 
 def hash_texts(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
