@@ -17,7 +17,7 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _MUL = np.uint64(0x9E3779B97F4A7C15 | 3)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -51,7 +51,7 @@ def hash_spans(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return _mix((acc[ends] - acc[starts]) * inv[starts])
 
 
-def _hash_piece(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hash_piece(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes with starts and ends (byte offsets) of one piece that no word straddles."""
     b = np.frombuffer(raw, np.uint8)
     gap = np.ones(len(b) + 2, bool)
@@ -61,41 +61,48 @@ def _hash_piece(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hash_spans(b, starts, ends), starts, ends
 
 
+def pieces(texts: list[bytes], size: int = _PIECE):
+    """Runs of texts joined by a space, about ``size`` bytes each: (first text, text after the last, bytes).
+
+    A longer text is cut at white space into several runs of its own.
+    """
+    lo, held = 0, 0
+    for i, t in enumerate(texts):
+        if len(t) > size:
+            if i > lo:
+                yield lo, i, b" ".join(texts[lo:i])
+            at = 0
+            while at < len(t):
+                end = at + size
+                while end < len(t) and not _SPACE[t[end]]:
+                    end += 1
+                yield i, i + 1, t[at:end]
+                at = end
+            lo, held = i + 1, 0
+            continue
+        held += len(t) + 1
+        if held > size:
+            yield lo, i + 1, b" ".join(texts[lo : i + 1])
+            lo, held = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts), b" ".join(texts[lo:])
+
+
 def hash_texts(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """All words' hashes, text after text, and each text's number of words.
 
     ``lower`` folds A-Z only. A null text has no words.
     """
-    hashes, counts, held, held_bytes = [], np.zeros(len(texts), np.int64), [], 0
-
-    def flush() -> None:
-        nonlocal held, held_bytes
-        if not held:
-            return
-        raw = b" ".join(t for _, t in held)
-        h, starts, _ = _hash_piece(raw.translate(_LOWER) if lower else raw)
+    texts = [t or b"" for t in texts]
+    hashes, counts = [], np.zeros(len(texts), np.int64)
+    for lo, hi, raw in pieces(texts):
+        h, starts, _ = hash_piece(raw.translate(LOWER) if lower else raw)
         hashes.append(h)
-        bounds = np.cumsum([len(t) + 1 for _, t in held])
-        n = np.diff(np.searchsorted(starts, bounds), prepend=0)
-        for (i, _), k in zip(held, n):
-            counts[i] += k
-        held, held_bytes = [], 0
-
-    for i, t in enumerate(texts):
-        if not t:
-            continue
-        while len(t) > _PIECE:
-            at = _PIECE
-            while at < len(t) and not _SPACE[t[at]]:
-                at += 1
-            flush()
-            held, t = [(i, t[:at])], t[at:]
-            flush()
-        held.append((i, t))
-        held_bytes += len(t)
-        if held_bytes > _PIECE:
-            flush()
-    flush()
+        if hi == lo + 1:
+            counts[lo] += len(h)
+        else:
+            bounds = np.cumsum([len(t) + 1 for t in texts[lo:hi]])
+            counts[lo:hi] += np.diff(np.searchsorted(starts, bounds), prepend=0)
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), counts
 
 
