@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gleaner.llm import exact_dedup, packing, toxicity, url_filter
+from gleaner.llm import exact_dedup, packing, quality, toxicity, url_filter
 
 QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op9_quality": quality.op9_quality,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_url_filter": url_filter.op5_url_filter,
 }
