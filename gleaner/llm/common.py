@@ -55,6 +55,10 @@ class Workspace:
         df.write.option("compression", "zstd").mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def again(self, df: DataFrame, name: str) -> DataFrame:
+        """A written table once more, apart from ``df`` (joins of a table with itself)."""
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
         for n in names:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gleaner.llm import exact_dedup, html_extract, ngram_join, packing, quality, substring_dedup, toxicity, url_filter
+from gleaner.llm import embedding_dedup, exact_dedup, html_extract, ngram_join, packing, quality, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op2_html_extraction": html_extract.op2_html_extraction,
