@@ -139,9 +139,16 @@ def exact_groups(
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text equals that of a row that stays (see ``exact_groups``)."""
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    """``docs`` without the rows whose text equals that of a row that stays (see ``exact_groups``).
+
+    Of rows that repeat both id and text one stays.
+    """
+    ws = Workspace(docs.sparkSession, "exact-drop")
+    groups = ws.write(exact_groups(docs, id_col, text_col), "groups")
+    gone = groups.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    out = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    twice = groups.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return out if twice.isEmpty() else out.dropDuplicates([id_col, text_col])
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
