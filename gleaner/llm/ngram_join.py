@@ -8,9 +8,11 @@ match in some segment. How many segments get a 2 is chosen for each band by cost
 chance matches expected among the band's sets. Matches are verified on whole sets.
 
 Equal sets are one class from the start, and only classes take part. Keys go to buckets as packed
-runs, which answer one bit a key ("another class has it too"); only keys that repeat become rows. Groups
+runs, which answer one bit a key ("it occurs elsewhere too"); only keys that repeat become rows. Groups
 that share a key are not paired out: each member is compared with one leader, then, where a group
 still falls into several components, with its other leaders, and at last across components only.
+There, a parity sketch (each element flips one of 2,048 bits) goes before: two sketches never differ in
+more bits than the sets do in elements, so a larger difference excludes a pair without loss.
 
 Defined cases: a text with fewer words than a shingle is one shingle of all its words; without words or
 null it has no shingle and links with nothing; rows that repeat an id are one vertex; rows without id get
@@ -33,8 +35,9 @@ from gleaner.llm.common import Workspace, buckets_for, ship, table
 from gleaner.llm.graph import components
 
 _U = np.uint64
-_RATIO = 1.5  # of a band's largest to its smallest size
+_RATIO = 1.3  # of a band's largest to its smallest size
 _NULL_ID = -(2**63)
+_SKETCH = 2048  # bits
 
 
 class Sets:
@@ -70,10 +73,19 @@ class Sets:
             acc = np.concatenate([[_U(0)], np.cumsum(W._mix(self.flat * _U(mul)))])
             self.prints.append(W._mix((acc[self.at[1:]] - acc[self.at[:-1]]) + self.n.astype(np.uint64)))
 
-    def keys(self, bands: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    def sketches(self, docs: np.ndarray) -> np.ndarray:
+        """Parity sketches of documents: rows of 64-bit words."""
+        slot = np.full(len(self.n), -1)
+        slot[docs] = np.arange(len(docs))
+        e = np.flatnonzero(slot[self.doc] >= 0)
+        bit = (W._mix(self.flat[e] ^ _U(0x5DEECE66D)) % _U(_SKETCH)).astype(np.int64)
+        odd = np.bincount(slot[self.doc[e]] * _SKETCH + bit, minlength=len(docs) * _SKETCH) & 1
+        return np.packbits(odd.astype(np.uint8)).reshape(len(docs), -1).view(np.int64)
+
+    def keys(self, bands: list[tuple[int, int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
         """Index keys of all documents and the document of each."""
         keys, docs = [], []
-        for b, (lo, hi, m, deep) in enumerate(bands):
+        for b, (lo, hi, m, deep, slack) in enumerate(bands):
             own = np.flatnonzero((self.n >= lo) & (self.n <= hi))
             if not len(own):
                 continue
@@ -87,8 +99,13 @@ class Sets:
             total = np.zeros(len(own) * m, np.uint64)
             np.add.at(total, cell, x)
             salt = W._mix(np.arange(m, dtype=np.uint64) + _U((b + 1) << 32))
-            keys.append(W._mix(total + np.tile(salt, len(own))))
-            docs.append(np.repeat(own, m))
+            # empty segments are no keys, unless the document has more of them than the band allows for
+            full = (np.bincount(cell, minlength=len(total)) > 0).reshape(-1, m)
+            full[:, :deep] = True
+            full[(~full).sum(axis=1) > slack] = True
+            full = full.ravel()
+            keys.append(W._mix(total + np.tile(salt, len(own)))[full])
+            docs.append(np.repeat(own, m)[full])
             one = seg < deep
             if one.any():
                 keys.append(W._mix(total[cell[one]] - x[one] + salt[seg[one]]))
@@ -98,13 +115,15 @@ class Sets:
         return np.concatenate(keys), np.concatenate(docs)
 
 
-def plan_bands(sizes: dict[int, int], percent: int, pair_cost: float = 5.0, spread: float = 0.7) -> list[tuple[int, int, int, int]]:
-    """For each size band: smallest and largest size that indexes in it, segments, segments of allocation 2.
+def plan_bands(sizes: dict[int, int], percent: int, pair_cost: float = 5.0, common: float = 0.01) -> list[tuple[int, int, int, int, int]]:
+    """For each size band: smallest and largest size that indexes in it, segments, how many of these have allocation 2, slack.
 
     ``sizes`` is the histogram of set sizes over all classes. A band indexes its own sets and the larger
-    ones that these can match. Cost of t deep segments: keys a set, plus ``pair_cost`` for each chance match,
-    where a segment of e elements is taken to match by chance as segments that hold no element (or
-    at most one) would: exp(-spread*e) on either side.
+    ones that these can match. Segments that are empty would match without meaning anything, so they are
+    no keys; ``slack`` more of allocation makes up for as many of them (a document with more indexes them
+    after all, and two similar documents with at most ``slack`` in one of them still meet elsewhere).
+    Cost of t deep segments: keys a set, plus ``pair_cost`` for each chance match of two of the band's sets; by
+    chance match segments whose one element (or, deep, whose elements but one) is common to many texts.
     """
     if not sizes:
         return []
@@ -113,19 +132,24 @@ def plan_bands(sizes: dict[int, int], percent: int, pair_cost: float = 5.0, spre
         hi = max(lo, math.ceil(lo * _RATIO) - 1)
         reach = hi * 100 // percent
         most = (hi + reach) * (100 - percent) // (100 + percent)
-        held = {s: n for s, n in sizes.items() if lo <= s <= reach}
         if most:
-            n = sum(held.values())
-            mean = sum(s * k for s, k in held.items()) / n if n else lo
+            n = sum(k for s, k in sizes.items() if lo <= s <= reach)
             best = None
             for deep in range(0, (most + 1) // 2 + 1):
-                m = most + 1 - deep
-                e = mean / m
-                p0, p1 = math.exp(-spread * e), (1 + e) * math.exp(-spread * e)
+                slack = 0
+                for _ in range(6):
+                    m = most + 1 + slack - deep
+                    z = (m - deep) * math.exp(-lo / m)
+                    slack = math.ceil(z + 3 * math.sqrt(z)) if z > 0.01 else 0
+                m = most + 1 + slack - deep
+                if m < max(1, deep):
+                    continue
+                e = lo / m
+                p0, p1 = common * e * math.exp(-e), common * e * (1 + e) * math.exp(-e)
                 cost = m + deep * e + pair_cost * n * ((m - deep) * p0 * p0 + deep * min(1, p1) ** 2)
                 if best is None or cost < best[0]:
-                    best = (cost, m, deep)
-            bands.append((lo, reach, best[1], best[2]))
+                    best = (cost, m, deep, slack)
+            bands.append((lo, reach, *best[1:]))
         lo = hi + 1
     return bands
 
@@ -144,14 +168,17 @@ def _digests(width: int):
 
 
 def _entries(s: Sets, bands):
-    """Distinct (key, class print) entries of a unit, sorted, and for all keys their entry."""
+    """Distinct keys of a unit, sorted; whether several of its classes have one; each key's entry and document."""
     k, d = s.keys(bands)
     p = s.prints[0][d]
     order = np.lexsort((p, k))
     k, p, d = k[order], p[order], d[order]
     new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
-    return k[new], p[new], np.cumsum(new) - 1, k, d
+    new[1:] = k[1:] != k[:-1]
+    entry = np.cumsum(new) - 1
+    several = np.zeros(int(new.sum()), bool)
+    several[entry[1:][(k[1:] == k[:-1]) & (p[1:] != p[:-1])]] = True
+    return k[new], several, entry, k, d
 
 
 def _cut(k: np.ndarray, buckets: int):
@@ -165,40 +192,39 @@ def _send(width: int, bands, buckets: int):
     def run(batches):
         for b in batches:
             for unit, payload in zip(b.column("unit").to_pylist(), b.column("payload").to_pylist()):
-                k, p, _, _, _ = _entries(Sets(payload, width), bands)
+                k, several, _, _, _ = _entries(Sets(payload, width), bands)
                 order, present, at = _cut(k, buckets)
-                k, p = k[order], p[order]
+                k, several = k[order], several[order]
                 spans = list(zip(at[:-1], at[1:]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(present), pa.array([unit] * len(present), pa.int64()), pa.array([U.planes(k[i:j] >> _U(24), 5) for i, j in spans], pa.binary()), pa.array([U.planes(p[i:j], 6) for i, j in spans], pa.binary())],
-                    names=["bucket", "unit", "k", "p"],
+                    [pa.array(present), pa.array([unit] * len(present), pa.int64()), pa.array([U.planes(k[i:j] >> _U(24), 5) for i, j in spans], pa.binary()), pa.array([U.bits(several[i:j]) for i, j in spans], pa.binary())],
+                    names=["bucket", "unit", "k", "several"],
                 )
 
     return run
 
 
 def _answer(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """One bit an entry: sets of another class have the key too."""
-    k = [U.unplanes(x, 5) for x in t.column("k").to_pylist()]
-    sizes = [len(x) for x in k]
-    k, p = np.concatenate(k), np.concatenate([U.unplanes(x, 6) for x in t.column("p").to_pylist()])
-    order = np.lexsort((p, k))
-    sk, sp = k[order], p[order]
-    first = np.ones(len(k), bool)
-    first[1:] = sk[1:] != sk[:-1]
-    run = np.cumsum(first) - 1
-    at = np.flatnonzero(first)
-    end = np.append(at[1:], len(k)) - 1
-    shared = np.zeros(len(k), bool)
-    shared[order] = (sp[at] != sp[end])[run]
-    parts = np.split(shared, np.cumsum(sizes)[:-1])
+    """One bit a key: another unit has it too, or several classes of one unit have it.
+
+    Copies of one class in two units raise the bit for nothing; the groups that follow see one member.
+    """
+    runs = [U.unplanes(x, 5) for x in t.column("k").to_pylist()]
+    sizes = [len(x) for x in runs]
+    k = np.concatenate(runs)
+    several = np.concatenate([U.unbits(x, n) for x, n in zip(t.column("several").to_pylist(), sizes)])
+    order = np.argsort(k, kind="stable")
+    same = k[order[1:]] == k[order[:-1]]
+    several[order[1:]] |= same
+    several[order[:-1]] |= same
+    parts = np.split(several, np.cumsum(sizes)[:-1])
     return pa.table({"unit": t.column("unit"), "bucket": t.column("bucket"), "mask": pa.array([U.bits(x) for x in parts], pa.binary()), "reps": pa.array([None] * len(parts), pa.list_(pa.int64()))})
 
 
 def _candidates(width: int, bands, buckets: int):
     def run(key: tuple[pa.Scalar, ...], own: pa.Table, answers: pa.Table) -> pa.Table:
         kind = pa.list_(pa.int64())
-        empty = pa.table({"v": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "keys": pa.array([], kind), "grams": pa.array([], kind)})
+        empty = pa.table({"v": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "keys": pa.array([], kind), "grams": pa.array([], kind), "sketch": pa.array([], kind)})
         reps = [r for r in answers.column("reps").to_pylist() if r]
         if not own.num_rows or not reps:
             return empty
@@ -222,7 +248,7 @@ def _candidates(width: int, bands, buckets: int):
         runs = np.split(keys, cut[1:])
         return pa.table({
             "v": pa.array(s.ids[have]), "n": pa.array(s.n[have]), "keys": pa.array([np.unique(r) for r in runs], kind),
-            "grams": pa.array([s.flat[s.at[i] : s.at[i + 1]].view(np.int64) for i in have], kind),
+            "grams": pa.array([s.flat[s.at[i] : s.at[i + 1]].view(np.int64) for i in have], kind), "sketch": pa.array(list(s.sketches(have)), kind),
         })
 
     return run
@@ -271,12 +297,12 @@ def link_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 def _components(spark, ws: Workspace, units: DataFrame, classes: DataFrame, bands, buckets: int, width: int, percent: int) -> DataFrame:
     """(v, c) of the classes that link: verified edges and their connected components."""
-    sent = units.mapInArrow(_send(width, bands, buckets), "bucket long, unit long, k binary, p binary")
+    sent = units.mapInArrow(_send(width, bands, buckets), "bucket long, unit long, k binary, several binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "unit long, bucket long, mask binary, reps array<long>")
     reps = classes.groupBy("unit").agg(F.collect_list("i").alias("reps"))  # at most a unit's rows
     answers = answers.unionByName(reps.select("unit", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("mask"), "reps"))
     sets = units.select("unit", "payload").groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(
-        _candidates(width, bands, buckets), "v long, n long, keys array<long>, grams array<long>"
+        _candidates(width, bands, buckets), "v long, n long, keys array<long>, grams array<long>, sketch array<long>"
     )
     sets = ws.write(sets, "sets")
     keys = sets.select(F.explode("keys").alias("k"), "v", "n")
@@ -312,8 +338,13 @@ def _components(spark, ws: Workspace, units: DataFrame, classes: DataFrame, band
     # at last everything across components: members outside a group's largest component against the rest
     sizes = left.groupBy("k", "c").agg(F.count(F.lit(1)).alias("s")).groupBy("k").agg(F.max(F.struct("s", "c")).alias("m"))
     marked = left.join(sizes.select("k", F.col("m.c").alias("big")), "k").withColumn("minor", F.col("c") != F.col("big"))
+    marked = marked.join(sets.groupBy("v").agg(F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("texts")), "v")
     one, two = marked.where("minor").alias("x"), marked.alias("y")
+    apart = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(_SKETCH // 64)), F.lit(0))
+    room = (F.col("x.n") + F.col("y.n")) * (100 - percent) / (100 + percent)
     across = (F.col("x.c") != F.col("y.c")) & near(F.col("x.n"), F.col("y.n")) & (~F.col("y.minor") | (F.col("x.v") < F.col("y.v")))
+    # an id that stands for several texts has no one sketch
+    across = across & ((apart <= room) | (F.col("x.texts") > 1) | (F.col("y.texts") > 1))
     pairs = one.join(two, (F.col("x.k") == F.col("y.k")) & across).select(F.greatest("x.v", "y.v").alias("a"), F.least("x.v", "y.v").alias("b"))
     pairs = ws.write(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs3")
     found = ws.write(_verified(pairs, sets, percent), "edges3")
