@@ -59,9 +59,10 @@ FROM (
       CASE WHEN sk % 4 = 0 THEN s_name ELSE '' END AS seller_text, pk % 11 = 0 AS sponsored, page_id % 7 = 0 AS profile,
       CASE pk % 3 WHEN 0 THEN 'legit' WHEN 1 THEN 'slop' ELSE 'borderline' END AS label
     FROM (
-      SELECT l_orderkey * 10 + l_linenumber AS item_no, CAST(FLOOR(l_orderkey / 32) AS BIGINT) AS page_id,
-        l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk, s_name, n_name
-      FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+      SELECT item_no, page_id, ln, pk, sk, s_name, n_name FROM (
+        SELECT l_orderkey * 10 + l_linenumber AS item_no, CAST(FLOOR(l_orderkey / 32) AS BIGINT) AS page_id, l_linenumber AS ln, MIN(l_partkey) AS pk, MIN(l_suppkey) AS sk
+        FROM lineitem GROUP BY l_orderkey, l_linenumber
+      ) u JOIN supplier ON sk = s_suppkey JOIN nation ON s_nationkey = n_nationkey
     ) k
   ) k2
 ) k3
@@ -71,4 +72,7 @@ FROM (
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     for t in ("lineitem", "supplier", "nation"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(listings_sql())
+    # dealt by page, which is how flood windows want them; scoring is heavy for each byte, so small inputs
+    # take all cores too
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.sql(listings_sql()).repartition(n, "page_id")
