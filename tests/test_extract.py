@@ -18,9 +18,9 @@ def test_links(spark):
 
 
 def test_card(spark):
-    df = spark.createDataFrame([(["$20", "Oak desk in Bend, OR", "Bend, OR", "Sold by Ann Lee"], "Marketplace: Oak desk in Bend, OR")], "text_lines array<string>, label string")
+    df = spark.createDataFrame([(["$20", "Oak desk, 2 drawers in Bend, OR", "Bend, OR", "Sold by Ann Lee"], "Marketplace: Oak desk, 2 drawers in Bend, OR")], "text_lines array<string>, label string")
     r = extract.card_columns(df, label="label").first()
-    assert (r["price_text"], r["location_text"], r["title"], r["seller_text"]) == ("$20", "Bend, OR", "Oak desk", "Sold by Ann Lee")
+    assert (r["price_text"], r["location_text"], r["title"], r["seller_text"]) == ("$20", "Bend, OR", "Oak desk, 2 drawers", "Sold by Ann Lee")
 
 
 def test_redact_and_terms(spark):
