@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gleaner.llm import embedding_dedup, exact_dedup, html_extract, ngram_join, packing, quality, substring_dedup, toxicity, url_filter
+from gleaner.llm import embedding_dedup, exact_dedup, html_extract, ngram_join, packing, quality, sentencepiece_lattice, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op4_sentencepiece": sentencepiece_lattice.op4_sentencepiece,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op1_ngram_join": ngram_join.op1_ngram_join,
