@@ -15,7 +15,7 @@ def freshness(cache: DataFrame, now) -> DataFrame:
     """``cache`` (outcome: verdict / no-data / error, fetched_at) with ``fresh`` at ``now``."""
     ttl = F.when(F.col("outcome") == "verdict", VERDICT_TTL_S).when(F.col("outcome") == "error", ERROR_TTL_S).otherwise(NO_DATA_TTL_S)
     age = F.unix_micros(now) - F.unix_micros("fetched_at")
-    return cache.withColumn("fresh", age < ttl * F.lit(1_000_000))
+    return cache.withColumn("fresh", age < ttl.cast("bigint") * 1_000_000)
 
 
 def keep_newest(cache: DataFrame, most: int = 800, order: str = "fetched_at", tie: str = "event_id") -> DataFrame:

@@ -262,7 +262,7 @@ def allow_terms(spark, sf_dir):
     return listings(spark, sf_dir).select("item_no", T.allow_term(F.col("title")).alias("allow_term"))
 
 
-@query(f"WITH l AS ({listings_sql()}) SELECT item_no, title, CASE WHEN {O.has('price_text', X.CARD_PRICE)} THEN price_text ELSE '' END AS price_text, location_text, CASE WHEN seller_text <> '' THEN 'Sold by ' || seller_text ELSE '' END AS seller_text FROM l WHERE NOT {O.has('title', X.NOT_TITLE)}")
+@query(f"WITH l AS ({listings_sql()}) SELECT item_no, title, CASE WHEN {O.has('price_text', X.CARD_PRICE)} THEN price_text ELSE '' END AS price_text, CASE WHEN regexp_matches(location_text, {O._q(X.PLACE_LINE)}) THEN location_text ELSE '' END AS location_text, CASE WHEN seller_text <> '' THEN 'Sold by ' || seller_text ELSE '' END AS seller_text FROM l WHERE NOT {O.has('title', X.NOT_TITLE)}")
 def card_fields(spark, sf_dir):
     """Cards as lines: price, title, place, seller; taken apart again."""
     df = listings(spark, sf_dir).where(~T.has(F.col("title"), X.NOT_TITLE))
