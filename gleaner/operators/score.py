@@ -33,13 +33,13 @@ def _some(*cases: Column) -> Column:
     return F.filter(F.array(*cases), lambda m: m.isNotNull()) if cases else F.array().cast(f"array<{MATCH}>")
 
 
-def _once(c: Column) -> Column:
+def _once(c: Column, streaming: bool) -> Column:
     """``c`` behind a condition that always holds but is not deterministic.
 
     Catalyst moves filters below projections by inlining what they refer to, and would unfold the whole
-    scoring into every filter on a score; it does not do so past this.
+    scoring into every filter on a score; it does not do so past this. Streams allow no such condition.
     """
-    return F.when(F.rand(7) >= 0, c)
+    return c if streaming else F.when(F.monotonically_increasing_id() >= 0, c)
 
 
 def _haystack(fields: str) -> str:
@@ -261,7 +261,7 @@ def score(df: DataFrame, settings: Settings | None = None) -> DataFrame:
     if "is_seller_profile" in given:
         quiet = F.filter(kept, lambda m: ~m["rule_id"].isin(*X.PROFILE_NOISY_RULES))
         kept = F.when(F.coalesce("is_seller_profile", F.lit(False)), quiet).otherwise(kept)
-    out = out.withColumn("_m", _once(kept))
+    out = out.withColumn("_m", _once(kept, df.isStreaming))
     total = F.aggregate("_m", F.lit(0), lambda a, m: a + m["weight"])
     cap = X.THRESHOLDS[settings.aggressiveness][0] - 1
     capped = F.when(F.col("_allow").isNotNull(), F.least(total, F.lit(cap))).otherwise(total)

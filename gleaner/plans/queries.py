@@ -395,7 +395,7 @@ _OUTCOME = "CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'verdict'
 _NOW = "TIMESTAMP '2024-01-10 00:00:00'"
 
 
-@query(f"SELECT event_id, (epoch_us({_NOW}) - epoch_us(ts)) < 1000000 * CASE {_OUTCOME} WHEN 'verdict' THEN 21600 WHEN 'error' THEN 60 ELSE 1800 END AS fresh FROM events WHERE ts <= {_NOW}")
+@query(f"SELECT event_id, (epoch_us({_NOW}) - epoch_us(ts)) < CAST(1000000 AS BIGINT) * CASE {_OUTCOME} WHEN 'verdict' THEN 21600 WHEN 'error' THEN 60 ELSE 1800 END AS fresh FROM events WHERE ts <= {_NOW}")
 def ttl_freshness(spark, sf_dir):
     cache = _table(spark, sf_dir, "events").where(f"ts <= {_NOW}").selectExpr("event_id", f"{_OUTCOME} AS outcome", "CAST(ts AS TIMESTAMP) AS fetched_at")
     return schedule.freshness(cache, F.expr(_NOW)).select("event_id", "fresh")
