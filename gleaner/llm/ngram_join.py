@@ -254,10 +254,24 @@ def _candidates(width: int, bands, buckets: int):
     return run
 
 
+def _apart(x: str, y: str):
+    """Bits in which two parity sketches differ: at most the elements in which the sets differ."""
+    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(_SKETCH // 64)), F.lit(0))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b): those whose sets are similar enough."""
+    """Of pairs (a, b): those whose sets are similar enough.
+
+    Sketches, which are small, go first; whole sets travel only for the pairs that these leave.
+    """
+    sketch = sets.groupBy("v").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+    x = pairs.join(sketch.select(*[F.col(c).alias(f"{c}_a") for c in sketch.columns]).withColumnRenamed("v_a", "a"), "a")
+    x = x.join(sketch.select(*[F.col(c).alias(f"{c}_b") for c in sketch.columns]).withColumnRenamed("v_b", "b"), "b")
+    room = (F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent)
+    # an id that stands for several texts has no one sketch
+    x = x.where((_apart("sketch_a", "sketch_b") <= room) | (F.col("texts_a") > 1) | (F.col("texts_b") > 1)).select("a", "b")
     grams = sets.select("v", "grams")
-    x = pairs.join(grams.select(F.col("v").alias("a"), F.col("grams").alias("ga")), "a")
+    x = x.join(grams.select(F.col("v").alias("a"), F.col("grams").alias("ga")), "a")
     x = x.join(grams.select(F.col("v").alias("b"), F.col("grams").alias("gb")), "b")
     common = F.size(F.array_intersect("ga", "gb"))
     union = F.size("ga") + F.size("gb") - F.col("common")
@@ -305,6 +319,7 @@ def _components(spark, ws: Workspace, units: DataFrame, classes: DataFrame, band
         _candidates(width, bands, buckets), "v long, n long, keys array<long>, grams array<long>, sketch array<long>"
     )
     sets = ws.write(sets, "sets")
+    ws.drop("units")  # nothing reads them any more
     keys = sets.select(F.explode("keys").alias("k"), "v", "n")
     near = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
@@ -340,7 +355,7 @@ def _components(spark, ws: Workspace, units: DataFrame, classes: DataFrame, band
     marked = left.join(sizes.select("k", F.col("m.c").alias("big")), "k").withColumn("minor", F.col("c") != F.col("big"))
     marked = marked.join(sets.groupBy("v").agg(F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("texts")), "v")
     one, two = marked.where("minor").alias("x"), marked.alias("y")
-    apart = sum((F.bit_count(F.get("x.sketch", F.lit(i)).bitwiseXOR(F.get("y.sketch", F.lit(i)))) for i in range(_SKETCH // 64)), F.lit(0))
+    apart = _apart("x.sketch", "y.sketch")
     room = (F.col("x.n") + F.col("y.n")) * (100 - percent) / (100 + percent)
     across = (F.col("x.c") != F.col("y.c")) & near(F.col("x.n"), F.col("y.n")) & (~F.col("y.minor") | (F.col("x.v") < F.col("y.v")))
     # an id that stands for several texts has no one sketch
