@@ -10,7 +10,8 @@ which is put out block by block.
 ``fit_weights`` learns from pages whose main region is known. Pages that mark it themselves (an
 ``article`` or ``main`` element) are such pages, and serve as labelled pages by default: at most
 ``max_pages`` of them, lowest id hashes first. Each (element, in link) context has a weight; contexts
-never seen in training get a fixed prior by kind of element.
+never seen in training get a fixed prior by kind of element. Such elements only teach weights: the
+region put out is the scan's, with or without them.
 
 Defined cases: a null or empty page gives an empty text; malformed markup is read leniently (tags that
 are never closed, ``<`` in text, truncated pages); repeated rows are extracted each on its own; extra
@@ -168,9 +169,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
         elif now > best:
             best, best_lo, best_hi = now, lo, i + 1
     blocks, own = [], []
-    # a region that starts or ends within an element that marks the article itself takes it whole
-    lo, hi = _whole(seq, best_lo, best_hi)
-    for kind, context, text, boiler, _ in seq[lo:hi]:
+    for kind, context, text, boiler, _ in seq[best_lo:best_hi]:
         if kind == "text":
             if not boiler:
                 own.append(text)
@@ -184,22 +183,13 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     return "\n\n".join(b for b in out if b)
 
 
-def _whole(seq: list, lo: int, hi: int) -> tuple[int, int]:
-    if not any(t[4] for t in seq[lo:hi]):
-        return lo, hi
-    inside = [i for i in range(lo, hi) if seq[i][4]]
-    lo, hi = inside[0], inside[-1] + 1
-    while lo > 0 and seq[lo - 1][4]:
-        lo -= 1
-    while hi < len(seq) and seq[hi][4]:
-        hi += 1
-    return lo, hi
-
-
 def fit_counts(page: str | None) -> Counter:
-    """Of a labelled page: words and tags of each context inside (1) and outside (0) the main region."""
+    """Of a labelled page: words and tags of each context inside (1) and outside (0) the main region.
+
+    A page whose only marked elements are boilerplate (teasers, comments) does not mark its main region: no counts.
+    """
     c: Counter = Counter()
-    if page:
+    if page and any(main and not boiler for *_, boiler, main in tokens(page)):
         for kind, context, text, boiler, main in tokens(page):
             if not boiler:
                 c[f"{'text' if kind == 'text' else 'tag'}:{context}", int(main)] += len(text.split()) if kind == "text" else 1

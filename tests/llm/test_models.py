@@ -50,6 +50,18 @@ def test_html():
     assert html_extract.extract("<p>" + "word " * 200000, w).count("word") == 200000
 
 
+def test_html_region_is_the_scans():
+    body = "One two three four five six seven.", "Eight nine ten eleven twelve thirteen."
+    teaser = "<div class=related><article><h2>Other story</h2><p>Read this one too, it is good.</p></article></div>"
+    comment = "<aside class=comments><article><p>Nice post, friend, thanks a lot.</p></article></aside>"
+    taught = html_extract.weights_of(html_extract.fit_counts(f"<body><nav>Menu</nav><div>Top</div><article><h1>Title here</h1><p>{body[0]}</p></article></body>"))
+    for w in ({}, taught):
+        for between in ("", teaser, comment, teaser + comment):
+            page = f"<body><nav>Menu</nav><div><p>{body[0]}</p>{between}<p>{body[1]}</p></div><footer>End</footer></body>"
+            assert html_extract.extract(page, w) == "\n\n".join(body)
+    assert not html_extract.fit_counts(f"<body><p>{body[0]}</p>{teaser}</body>")
+
+
 @pytest.mark.parametrize(
     "url,host,path,rule",
     [
