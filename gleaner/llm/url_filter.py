@@ -8,7 +8,9 @@ starts with the rule's path; of several, the longest wins (then the alphabetical
 
 The trees learn from labelled urls (``url``, ``label`` 1 = block), which the caller passes. No table of
 this repository's data labels urls, so the default is ``seed_urls``: 2,000 generated urls of plain and
-of spam-like hosts. Urls that a rule decides are no good labels: rules go by path and country, not by
+of spam-like hosts, of words and shapes of their own and not after the tables. Kinds overlap on purpose:
+hyphens, digits, suffixes, depth and parameters are in both, some clean hosts hold a spam word and some
+spam hosts none, so no feature alone parts them. ``held_out`` counts the trees' verdicts on other such urls. Urls that a rule decides are no good labels: rules go by path and country, not by
 the look of a url.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, fits no rule and is judged
@@ -26,9 +28,17 @@ from gleaner.llm.common import Workspace, table
 #: The rules that the query's contract fixes.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
-#: Words that mark spam hosts or paths in the generated labelled urls.
-SPAM_WORDS = ["cheap", "pills", "spam", "farm", "bets", "free", "adult", "casino", "viagra", "loan", "xxx", "win", "click", "poker", "ads", "track"]
-PLAIN_WORDS = ["news", "blog", "wiki", "docs", "shop", "garden", "music", "school", "river", "paper", "cook", "travel", "stone", "light"]
+#: Words of the generated labelled urls, by subject: medicines, gambling, credit, adult, copies, get-rich.
+SPAM_WORDS = [
+    "viagra", "cialis", "pills", "steroid", "poker", "slots", "jackpot", "roulette", "payday", "loan", "lender", "debt", "xxx", "hookup", "escort",
+    "webcam", "replica", "cheap", "outlet", "knockoff", "crypto", "profit", "miracle", "slimming",
+]
+PLAIN_WORDS = [
+    "news", "wiki", "docs", "garden", "music", "school", "river", "paper", "cook", "travel", "stone", "light", "museum", "library", "bridge",
+    "weather", "chess", "bakery", "history", "physics", "bicycle", "forest", "harbor", "theatre",
+]
+#: Names without meaning are put together from these.
+SYLLABLES = ["ba", "ko", "ri", "mel", "ton", "su", "vin", "dra", "pe", "lo", "zan", "qui", "fer", "mu", "ost", "el", "nar", "gi", "hu", "bri", "sca", "wen", "ty", "jo"]
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -51,7 +61,7 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return out
 
 
-FEATURES = ["len", "host_len", "depth", "labels", "digits", "digit_ratio", "hyphens", "entropy", "params", "query_len", "fragment", "has_ext", "vowel_ratio", "suffix_rate", "name_rate"]
+FEATURES = ["len", "host_len", "depth", "labels", "digits", "digit_ratio", "hyphens", "entropy", "params", "query_len", "fragment", "has_ext", "vowel_ratio", "suffix_rate", "gram_rate"]
 
 
 def lexical(df: DataFrame) -> DataFrame:
@@ -63,6 +73,8 @@ def lexical(df: DataFrame) -> DataFrame:
     alphabet = F.array(*map(F.lit, "abcdefghijklmnopqrstuvwxyz0123456789-."))
     shares = F.transform(alphabet, lambda c: (F.length("host") - F.length(F.replace(F.col("host"), c, F.lit("")))) / host_n)
     entropy = F.aggregate(shares, F.lit(0.0), lambda a, s: a + F.when(s > 0, -s * F.log2(s)).otherwise(0.0))
+    # the host's letters before its suffix: words count alike with and without hyphens
+    letters = F.regexp_replace(F.regexp_replace("host", r"\.[^.]*$", ""), "[^a-z]", "")
     cols = {
         "len": F.length(u),
         "host_len": F.length("host"),
@@ -78,25 +90,51 @@ def lexical(df: DataFrame) -> DataFrame:
         "has_ext": F.col("path").rlike(r"\.[a-z]{2,5}$").cast("int"),
         "vowel_ratio": F.regexp_count("host", F.lit("[aeiou]")) / host_n,
         "suffix": F.substring_index("host", ".", -1),
-        "name": F.element_at(F.split(F.regexp_replace(F.coalesce(F.try_element_at(F.split("host", r"\."), F.lit(-3)), F.col("host")), "[^a-z-]", ""), "-"), 1),
+        "grams": F.transform(F.sequence(F.lit(1), F.greatest(F.length(letters) - 3, F.lit(1))), lambda i: F.substring(letters, i, F.lit(4))),
     }
-    return df.withColumns({k: v if k in ("suffix", "name") else v.cast("double") for k, v in cols.items()})
+    return df.withColumns({k: v if k in ("suffix", "grams") else v.cast("double") for k, v in cols.items()})
 
 
-def seed_urls(spark: SparkSession, n: int = 2000) -> DataFrame:
-    """Generated labelled urls: plain words make allowed hosts, spam words blocked ones."""
-    def word(words, k):
-        return F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(words))) + 1).cast("int"))
+def seed_urls(spark: SparkSession, n: int = 2000, start: int = 0) -> DataFrame:
+    """Generated labelled urls ``url``, ``label``, ``kind`` (words of the host): ``n`` of them from number ``start``.
 
+    Spam hosts hold two spam words, one, or none but a messy shape (digits, long parameters); clean hosts hold plain words or names,
+    a tenth of them with a spam word and a tidy shape. The rest is drawn alike or with overlapping odds.
+    """
     pick = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m))
-    bad = F.col("id") % 2 == 1
-    host = F.when(bad, F.concat_ws("-", word(SPAM_WORDS, 1), word(SPAM_WORDS, 2))).otherwise(F.concat(word(PLAIN_WORDS, 1), word(PLAIN_WORDS, 2)))
-    sub = F.element_at(F.array(*map(F.lit, ["", "www.", "blog.", "m."])), (pick(3, 4) + 1).cast("int"))
-    tail = F.element_at(F.array(*map(F.lit, ["", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top"])), (pick(4, 6) + 1).cast("int"))
-    tld = F.element_at(F.array(*map(F.lit, ["com", "net", "org"])), (pick(5, 3) + 1).cast("int"))
-    lang = F.element_at(F.array(*map(F.lit, ["en", "de", "fr", "es"])), (pick(6, 4) + 1).cast("int"))
-    url = F.concat(F.lit("https://"), sub, host, F.lit(".example."), tld, F.lit("/"), lang, F.lit("/"), pick(7, 99999).cast("string"), tail)
-    return spark.range(n).select(url.alias("url"), bad.cast("int").alias("label"))
+    of = lambda words, k: F.element_at(F.array(*map(F.lit, words)), (pick(k, len(words)) + 1).cast("int"))
+    bad, part = F.col("id") % 2 == 1, pick(1, 10)
+    kind = F.when(bad, F.when(part < 3, "two spam words").when(part < 8, "one spam word").otherwise("plain words")).otherwise(F.when(part < 9, "plain words").otherwise("one spam word"))
+    messy, tidy = bad & (kind == "plain words"), ~bad & (kind == "one spam word")
+    # half of the plain words are invented names, whose letters training rarely meets
+    plain = lambda k: F.when(pick(k + 90, 2) == 0, of(PLAIN_WORDS, k)).otherwise(F.concat(of(SYLLABLES, k + 100), of(SYLLABLES, k + 110), of(SYLLABLES, k + 120)))
+    odds = lambda k, spam, clean: pick(k, 100) < F.when(messy, 95).when(tidy, 5).when(bad, spam).otherwise(clean)
+
+    first = F.when(kind == "plain words", plain(2)).otherwise(of(SPAM_WORDS, 3))
+    second = F.when(kind == "two spam words", of(SPAM_WORDS, 4)).otherwise(plain(5))
+    swap = pick(6, 2) == 0
+    joint = F.when(pick(7, 2) == 0, "-").otherwise("")
+    name = F.concat(F.when(swap, second).otherwise(first), joint, F.when(swap, first).otherwise(second), F.when(odds(8, 45, 20), pick(9, 9999).cast("string")).otherwise(""))
+    sub = of(["", "", "www.", "en.", "static.", "shop.city."], 10)
+    suffix = F.when(odds(11, 50, 15), of(["info", "biz", "xyz", "top", "com"], 12)).otherwise(of(["com", "org", "net", "de", "edu", "info"], 13))
+    step = lambda k: F.when(odds(k, 40, 30), F.concat(F.lit("/"), pick(k + 1, 999999).cast("string"))).otherwise(F.concat(F.lit("/"), of(PLAIN_WORDS, k + 1)))
+    path = F.concat(*[F.when(pick(20, 5) > d, step(30 + 2 * d)).otherwise("") for d in range(4)], F.when(pick(20, 5) > 0, of(["", "", "/", ".html", ".php"], 21)).otherwise("/"))
+    param = lambda k: F.concat(of(["id", "q", "sort", "from", "sid", "lang"], k), F.lit("="), F.when(odds(k + 1, 50, 30), F.hex(pick(k + 2, 1 << 40))).otherwise(of(PLAIN_WORDS, k + 2)))
+    params = F.when(odds(40, 50, 35), F.concat(F.lit("?"), param(50), F.when(odds(41, 50, 30), F.concat(F.lit("&"), param(60), F.lit("&"), param(70))).otherwise(""))).otherwise("")
+    scheme, mark = of(["http://", "https://"], 80), of(["", "", "", "", "#part"], 81)
+    url = F.concat(scheme, sub, name, F.lit("."), suffix, path, params, mark)
+    return spark.range(start, start + n).select(url.alias("url"), bad.cast("int").alias("label"), kind.alias("kind"))
+
+
+def held_out(spark: SparkSession, n: int = 2000) -> DataFrame:
+    """label, kind, hyphen, n, right: verdicts of the default trees on the ``n`` generated urls after the training ones, whose hosts training has not seen."""
+    host = url_parts(F.col("url"))[0]
+    rest = seed_urls(spark, n, 2000).withColumn("host", host)
+    rest = rest.join(seed_urls(spark).select(host.alias("host")).distinct(), "host", "left_anti")
+    got = filter_urls(rest, {}, id_col="url").select(F.col("page_id").alias("url"), "verdict").distinct()
+    right = (F.col("verdict") == "block") == (F.col("label") == 1)
+    counts = rest.join(got, "url").groupBy("label", "kind", F.contains("host", F.lit("-")).alias("hyphen"))
+    return counts.agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("right")).orderBy("label", "kind", "hyphen")
 
 
 def _tree_sql(node, names: list[str]) -> str:
@@ -108,23 +146,28 @@ def _tree_sql(node, names: list[str]) -> str:
 
 
 def _rates(labelled: DataFrame) -> list[tuple[str, dict[str, float], float]]:
-    """Smoothed share of blocked labels of each suffix and host name; bounded by the labelled sample."""
+    """Smoothed share of blocked labels of each suffix and each four letters of hosts, and the share that stands for the others; bounded by the labelled sample."""
     mean = labelled.agg(F.avg("label")).first()[0] or 0.0
     out = []
-    for key, least in (("suffix", 1), ("name", 3)):
-        rows = labelled.groupBy(key).agg(F.sum("label").alias("s"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-        top = rows.orderBy(F.desc("n"), key).limit(200).collect()
-        out.append((key, {r[key]: (r["s"] + 5 * mean) / (r["n"] + 5) for r in top}, mean))
+    for key, col, least, most in (("suffix", F.col("suffix"), 1, 200), ("gram", F.explode("grams"), 3, 400)):
+        rows = labelled.select("label", col.alias("k")).groupBy("k").agg(F.sum("label").alias("s"), F.count(F.lit(1)).alias("n"))
+        top = rows.where(F.col("n") >= least).orderBy(F.desc("n"), "k").limit(most).collect()
+        rest = mean
+        if key == "gram":  # unknown letters are like rare ones
+            few = rows.where(F.col("n") < least).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+            rest = ((few["s"] or 0) + 5 * mean) / ((few["n"] or 0) + 5)
+        out.append((key, {r["k"]: (r["s"] + 5 * mean) / (r["n"] + 5) for r in top}, rest))
     return out
 
 
 def _with_rates(df: DataFrame, rates) -> DataFrame:
-    for key, known, mean in rates:
+    for key, known, rest in rates:
+        rate = F.lit(float(rest))
         if known:
             m = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-            df = df.withColumn(f"{key}_rate", F.coalesce(F.try_element_at(m, F.col(key)), F.lit(float(mean))))
-        else:
-            df = df.withColumn(f"{key}_rate", F.lit(float(mean)))
+            of = lambda x: F.coalesce(F.try_element_at(m, x), F.lit(float(rest)))  # noqa: B023, E731
+            rate = of(F.col(key)) if key == "suffix" else F.aggregate("grams", F.lit(0.0), lambda a, g: a + of(g)) / F.size("grams")
+        df = df.withColumn(f"{key}_rate", rate)
     return df
 
 

@@ -84,6 +84,22 @@ def test_url_verdicts(spark):
     assert got[1] == "block" and got[2] == "allow" and len(got) == 3
 
 
+def test_url_labels_need_more_than_one_feature(spark):
+    from pyspark.sql import functions as F
+
+    host, path = url_filter.url_parts(F.col("url"))
+    rows = url_filter.lexical(url_filter.seed_urls(spark).withColumns({"host": host, "path": path}))
+    plain = [f for f in url_filter.FEATURES if not f.endswith("_rate")]
+    data = rows.select("label", *plain).toPandas()
+    y = data["label"].to_numpy()
+    for f in plain:
+        x = data[f].to_numpy()
+        right = max(max(np.mean((x > c) == y), np.mean((x <= c) == y)) for c in np.unique(x))
+        assert right < 0.8, f
+    kinds = {(r["label"], r["hyphen"]): r["share"] for r in url_filter.held_out(spark, 1000).groupBy("label", "hyphen").agg((F.sum("right") / F.sum("n")).alias("share")).collect()}
+    assert len(kinds) == 4 and min(kinds.values()) > 0.85  # hyphens or not, spam or clean
+
+
 def test_nnpu_learns():
     g = np.random.default_rng(0)
     doc = lambda bad: np.unique(np.concatenate([g.integers(0, 500, 40), g.integers(1000, 1010, 3) if bad else []])).astype(np.uint64)
