@@ -46,7 +46,7 @@ def displayed_price(c: Column) -> Column:
 def fingerprint(c: Column) -> Column:
     """Lower case without amounts and sales words; anything but letters and digits is one space."""
     t = F.regexp_replace(F.lower(normalize(c)), r"\$[\d,.]+", "")
-    t = F.regexp_replace(t, X.FINGERPRINT_DROP, "")
+    t = F.regexp_replace(ascii_fold(t), X.FINGERPRINT_DROP, "")
     return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
 
 

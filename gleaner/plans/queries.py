@@ -236,7 +236,7 @@ def photo_hash(spark, sf_dir):
 
 @query(f"SELECT doc_id, {_FP.format('text')} AS fp FROM documents WHERE lang = 'en'")
 def fingerprints(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.fingerprint(F.col("text")).alias("fp"))
+    return _table(spark, sf_dir, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("fp"))
 
 
 @query(f"WITH l AS ({listings_sql()}), a AS (SELECT *, {_FP.format('title')} AS fp, lower(trim(price_text)) AS p FROM l) SELECT item_no, {_FLOOD_FP} AS flood_fp, concat('item:', item_id) AS who, {_PRICE} AS price FROM a")
