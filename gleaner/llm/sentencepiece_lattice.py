@@ -154,23 +154,24 @@ def encode_words(words: DataFrame, path: str, long_word: int = 48) -> DataFrame:
     return out.unionByName(words.where(F.length("word") > long_word).mapInArrow(_by_library(path), "word string, ids array<int>"))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """doc_id, ids of every row."""
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, keep_text: bool = False) -> DataFrame:
+    """doc_id, ids of every row; and its ``text`` if ``keep_text``."""
     spark = docs.sparkSession
     ship(spark)
     ws = Workspace(spark, "pieces")
     path = model or default_model()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words_of(F.col(text_col)).alias("words"))
-    rows = ws.write(rows, "words")
-    vocabulary = ws.write(rows.select(F.explode("words").alias("word")).distinct(), "vocabulary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    rows = ws.write(rows, "texts")
+    words = words_of(F.col("text"))
+    vocabulary = ws.write(rows.select(F.explode(words).alias("word")).distinct(), "vocabulary")
     known = ws.write(encode_words(vocabulary, path), "ids")
     # each word of a text once, with all its places, meets its ids
-    placed = rows.select("row", F.posexplode("words").alias("pos", "word")).groupBy("row", "word").agg(F.collect_list("pos").alias("at"))
+    placed = rows.select("row", F.posexplode(words).alias("pos", "word")).groupBy("row", "word").agg(F.collect_list("pos").alias("at"))
     met = placed.join(known, "word").select("row", F.struct("at", "ids").alias("m")).groupBy("row").agg(F.collect_list("m").alias("ms"))
     spread = F.flatten(F.transform("ms", lambda m: F.transform(m["at"], lambda p: F.struct(p.alias("p"), m["ids"].alias("ids")))))
     ids = F.flatten(F.transform(F.array_sort(spread), lambda x: x["ids"]))
-    out = rows.select("doc_id", "row").join(met.select("row", ids.alias("ids")), "row", "left")
-    return out.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    out = (rows if keep_text else rows.drop("text")).join(met.select("row", ids.alias("ids")), "row", "left")
+    return out.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), *(["text"] if keep_text else []))
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", model: str | None = None) -> DataFrame:
@@ -187,6 +188,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model: str | None = None) -
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (of the ids in decimal, joined by commas) of every document."""
-    out = encode(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_crc32"))
+    """doc_id, ids, decoded, round_trip (``decoded`` is the document's text, marks read as spaces) of every document."""
+    out = decode(encode(table(spark, sf_dir, "documents"), keep_text=True).withColumnRenamed("text", "source"))
+    source = F.replace(F.coalesce("source", F.lit("")), F.lit(_MARK), F.lit(" "))
+    return out.select("doc_id", "ids", F.col("text").alias("decoded"), (F.col("text") == source).alias("round_trip"))

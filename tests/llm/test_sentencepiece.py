@@ -18,6 +18,15 @@ def test_equals_the_library(spark):
     assert S.encode(df.where("false")).count() == 0
 
 
+def test_query_decodes_every_document(spark, tmp_path):
+    sp = S._processor(S.default_model())
+    spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in S.op4_sentencepiece(spark, str(tmp_path)).collect()}
+    assert len(got) == len(TEXTS) and all(r["round_trip"] for r in got.values())
+    for i, t in enumerate(TEXTS):
+        assert (got[i]["ids"], got[i]["decoded"]) == (sp.encode(t or ""), (t or "").replace("▁", " "))
+
+
 def test_viterbi_is_best(spark):
     score = {"a": -3.0, "b": -3.5, "ab": -4.0, "aba": -9.0, "ba": -4.2, "bb": -3.0}
     pieces = spark.createDataFrame([(p, i, s) for i, (p, s) in enumerate(score.items())], "piece string, id int, score double")
