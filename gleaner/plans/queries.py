@@ -320,9 +320,9 @@ def _merge_sql() -> str:
 
 @query(_merge_sql())
 def deep_merge(spark, sf_dir):
-    """Details here: the same listings under stricter settings, for a third of the items."""
+    """Details here: the same listings under stricter settings."""
     cards = _scored(spark, sf_dir).drop(*_VIEW)
-    details = _scored(spark, sf_dir, replace(Settings(), aggressiveness="strict", block_all=("liquidation",))).where(_DETAIL_ITEMS)
+    details = _scored(spark, sf_dir, replace(Settings(), aggressiveness="strict", block_all=("liquidation",)))
     return enrich.merge_details(cards, details).select("item_no", "score", "action", "from_details")
 
 
@@ -397,7 +397,7 @@ _NOW = "TIMESTAMP '2024-01-10 00:00:00'"
 
 @query(f"SELECT event_id, (epoch_us({_NOW}) - epoch_us(ts)) < CAST(1000000 AS BIGINT) * CASE {_OUTCOME} WHEN 'verdict' THEN 21600 WHEN 'error' THEN 60 ELSE 1800 END AS fresh FROM events WHERE ts <= {_NOW}")
 def ttl_freshness(spark, sf_dir):
-    cache = _table(spark, sf_dir, "events").where(f"ts <= {_NOW}").selectExpr("event_id", f"{_OUTCOME} AS outcome", "CAST(ts AS TIMESTAMP) AS fetched_at")
+    cache = _table(spark, sf_dir, "events").selectExpr("event_id", f"{_OUTCOME} AS outcome", "CAST(ts AS TIMESTAMP) AS fetched_at")
     return schedule.freshness(cache, F.expr(_NOW)).select("event_id", "fresh")
 
 

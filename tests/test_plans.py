@@ -1,4 +1,5 @@
 import re
+from datetime import datetime, timedelta
 
 from gleaner.plans import queries as Q
 
@@ -15,3 +16,25 @@ def test_fingerprints_of_every_document(spark, tmp_path):
 
     got = {r["doc_id"]: r["fp"] for r in Q.fingerprints(spark, str(tmp_path)).collect()}
     assert got == {i: t if t is None else brute(t) for i, t in enumerate(texts)}
+
+
+def test_freshness_of_every_event(spark, tmp_path):
+    now = datetime(2024, 1, 10)
+    ages = [timedelta(seconds=x) for x in (0, 59, 60, 1799, 1800, 21599, 21600, -1, -20 * 86400)]
+    rows = [(i, now - a, kind) for i, (a, kind) in enumerate((a, kind) for a in ages for kind in ("view", "error", "click"))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    ttl = {"view": 21600, "error": 60, "click": 1800}
+    got = {r["event_id"]: r["fresh"] for r in Q.ttl_freshness(spark, str(tmp_path)).collect()}
+    assert got == {i: (now - ts).total_seconds() < ttl[kind] for i, ts, kind in rows}
+
+
+def test_details_of_every_item(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    def scored(spark, sf_dir, settings=None):
+        cols = ["CAST(id AS STRING) AS item_id", "id AS item_no", "'t' AS title", "'u' AS url", "array('m') AS matches"]
+        return spark.range(9).selectExpr(*cols).withColumns({"score": F.lit(50 if settings else 10), "action": F.lit("hide" if settings else "allow")})
+
+    monkeypatch.setattr(Q, "_scored", scored)
+    got = Q.deep_merge(spark, "").collect()
+    assert len(got) == 9 and all((r["score"], r["action"], r["from_details"]) == (50, "hide", True) for r in got)
