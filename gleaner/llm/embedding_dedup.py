@@ -109,7 +109,7 @@ def _join(cosine: float, bar: float):
                 hits.append((i, j))
                 np.minimum.at(label_x, i, label_y[j])
                 np.minimum.at(label_y, j, label_x[i])
-        for _ in range(64):  # labels sink until they rest; what is left over, the graph joins
+        while hits:  # labels sink until they rest: the links themselves are not put out
             was = label_x.copy()
             for i, j in hits:
                 np.minimum.at(label_x, i, label_y[j])

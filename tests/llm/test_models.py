@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from gleaner.llm import html_extract, packing, quality, toxicity, url_filter
-from gleaner.llm.embedding_dedup import near_vectors
+from gleaner.llm.embedding_dedup import _join, near_vectors
 
 
 def test_packing_plan_places_every_rank_once():
@@ -142,3 +142,14 @@ def test_vectors(spark):
     for i in range(60):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (near[i].sum() - 1, label[i], label[i] == i)
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(60, 65))
+
+
+def test_long_chain_is_one_component():
+    import pyarrow as pa
+
+    n = 1000
+    x = (np.eye(n, n + 1) + np.eye(n, n + 1, 1)) / np.sqrt(2)  # neighbours have cosine 0.5, others 0
+    ids = [2 * min(k, n - 1 - k) + (k >= n // 2) for k in range(n)]  # two basins, which meet in the middle
+    t = pa.table({"v": pa.array(ids, pa.int64()), "weight": pa.array([1] * n, pa.int64()), "u": [v.tobytes() for v in x]})
+    out = _join(0.45, 0.4499)((), t, t)
+    assert set(out.column("label").to_pylist()) == {0} and set(out.column("v").to_pylist()) == set(ids)
