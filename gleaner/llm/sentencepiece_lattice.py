@@ -1,32 +1,46 @@
 """SentencePiece encoding and decoding as relations.
 
-The distinct words of all texts are the unit of work: a piece never crosses the start of a word, so a
-text's ids are its words' ids one after another. Each distinct word is exploded into its substrings of at most the
-longest piece's length; an equi-join with the piece table (fixed size, broadcast) leaves the edges of the
-word's lattice; edges are grouped by word and folded with Spark's higher-order ``aggregate``.
+Words are the unit of work. A word here is a longest run of characters of which every two neighbours stand
+side by side in some piece: no piece crosses the border between two words, so a text's ids are its words'
+ids one after another, and cutting there loses nothing whatever the script. Each distinct word of all texts
+is exploded into its substrings of at most the longest piece's length; an equi-join with the piece table
+(fixed size, broadcast) leaves the edges of the word's lattice; edges are grouped by word and folded
+with Spark's higher-order ``aggregate``. Two folds run over the same edges:
 
-Two folds: ``viterbi`` finds the path of the highest sum of scores, which is right for unigram models. The
-public vocabulary at hand is a BPE model, for which that path is not what its own library gives; there
-the fold over the same edges is the model's rule, merging the best-scored neighbours (leftmost first) until no edge
-joins two. Characters without a piece fall back to bytes.
+* ``viterbi_ids``: the path of the highest sum of scores. It is the encoding of a unigram model.
+* ``ids``: the model's own rule. The public model is a BPE model, for which the best path is not what its
+  library gives: there the best-scored edge that joins two neighbours merges, leftmost first, until none does. The
+  state is a bit mask of the borders still standing.
 
-Words longer than ``long_word`` characters would make long folds; they go to the library itself.
+Both decode to the text. Characters without a piece are edges to their bytes.
+
+Texts are read once: a unit (``unit_bytes`` of text) keeps its words as indexes into its own distinct words, which it asks
+for once; their ids come back in packed parts, so neither texts nor a row a word of each text are shuffled.
+A word of more than ``LONG`` characters, for which a mask has no room, is folded outside of Spark's functions by the
+same two rules (the library for ``ids``, a loop for ``viterbi_ids``): results do not depend on the length.
 
 Defined cases: null and empty texts have no ids; rows that repeat an id are encoded each on its own; extra columns are
-ignored; empty tables give empty results.
+ignored; empty tables give empty results; a text that holds the mark itself decodes to a space there. Of paths with equal
+sums the one whose last piece is longest wins, and so on from the end.
 """
 
 from __future__ import annotations
 
+import hashlib
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm import words as W
 from gleaner.llm.common import Workspace, chunked, ship, table
 
 _MARK = "▁"
-_WORD = f"({_MARK}*[^{_MARK}]+|{_MARK}+)"
+LONG = 60
+_UNKNOWN = -1e12  # of a character without a piece, below any sum of scores of one word
+_EDGES = "array<struct<e:int,s:int,score:double,ids:array<int>>>"
 
 
 def default_model() -> str:
@@ -35,160 +49,421 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _processor(path: str):
+def _processor(model: bytes | str):
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+    return sentencepiece.SentencePieceProcessor(model_proto=model if isinstance(model, bytes) else open(model, "rb").read())
+
+
+class Pieces:
+    """A model's pieces: ``rows`` (piece, id, score) of the ordinary ones, byte ids, and each id's bytes when decoded."""
+
+    def __init__(self, model: bytes | str):
+        sp = _processor(model)
+        n = sp.get_piece_size()
+        plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
+        self.rows = [(sp.id_to_piece(i), i, float(sp.get_score(i))) for i in plain]
+        self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.longest = max(len(p) for p, _, _ in self.rows)
+        self.raw = [b"" if sp.is_control(i) else sp.id_to_piece(i).encode() for i in range(n)]
+        for b, i in enumerate(self.bytes):
+            self.raw[i] = bytes([b])
+
+
+class Neighbours:
+    """Which two characters stand side by side in some piece."""
 
+    def __init__(self, pieces: list[str]):
+        self.pairs = sorted({a + b for p in pieces for a, b in zip(p, p[1:])})
+        self._of = None
 
-def piece_table(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """(piece, id, score) of the model's ordinary pieces; and its byte ids, longest piece, all pieces by id."""
-    sp = _processor(path)
-    n = sp.get_piece_size()
-    plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-    rows = [(sp.id_to_piece(i), i, float(sp.get_score(i))) for i in plain]
-    facts = {
-        "bytes": [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], "longest": max(len(p) for p, _, _ in rows),
-        "all": [sp.id_to_piece(i) for i in range(n)], "silent": [i for i in range(n) if sp.is_control(i)],
-    }
-    return spark.createDataFrame(rows, "piece string, id int, score double"), facts
+    def starts(self, codes: np.ndarray) -> np.ndarray:
+        """Of code points: whether a word starts there."""
+        if self._of is None:
+            chars = sorted({c for p in self.pairs for c in p})
+            of = np.zeros(0x110000, np.int32)
+            of[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+            side = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+            side[[of[ord(p[0])] for p in self.pairs], [of[ord(p[1])] for p in self.pairs]] = True
+            self._of, self._side = of, side.ravel()
+            self._n = len(chars) + 1
+        k = self._of[codes]
+        out = np.ones(len(codes), bool)
+        out[1:] = ~self._side[k[:-1] * self._n + k[1:]]
+        return out
 
+    def __getstate__(self):
+        return {"pairs": self.pairs, "_of": None}
 
-def marked(text: Column) -> Column:
+
+def marked(text: str | None) -> str:
     """The text as the model sees it: a mark before it and for each space."""
-    t = F.coalesce(text, F.lit(""))
-    return F.when(t == "", "").otherwise(F.concat(F.lit(_MARK), F.replace(t, F.lit(" "), F.lit(_MARK))))
+    return _MARK + text.replace(" ", _MARK) if text else ""
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _runs(texts: list[str], near: Neighbours, size: int = 1 << 20):
+    """(first text, text after the last, their characters): some ``size`` at a time, longer texts cut between words."""
+    lo, held = 0, 0
+    for i, t in enumerate(texts):
+        if len(t) > size:
+            if i > lo:
+                yield lo, i, "".join(texts[lo:i])
+            at = 0
+            while at < len(t):
+                end, look = at + size, 4096
+                while end < len(t):
+                    cut = np.flatnonzero(near.starts(_codes(t[end - 1 : end + look]))[1:])
+                    if len(cut):
+                        end += int(cut[0])
+                        break
+                    end, look = end + look, look * 2
+                yield i, i + 1, t[at:end]
+                at = end
+            lo, held = i + 1, 0
+            continue
+        held += len(t)
+        if held > size:
+            yield lo, i + 1, "".join(texts[lo : i + 1])
+            lo, held = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts), "".join(texts[lo:])
+
+
+def split(texts: list[str], near: Neighbours) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Of marked texts: their distinct words, the index of each word of all texts, and each text's number of words."""
+    hashes, strings, index, counts, base = [], [], [], np.zeros(len(texts), np.int64), 0
+    for lo, hi, run in _runs(texts, near):
+        if not run:
+            continue
+        codes = _codes(run)
+        start = near.starts(codes)
+        bounds = np.cumsum([len(t) for t in texts[lo:hi]]) if hi > lo + 1 else np.array([len(run)])
+        start[bounds[:-1][bounds[:-1] < len(run)]] = True
+        at = np.flatnonzero(start)
+        end = np.append(at[1:], len(codes))
+        counts[lo:hi] += np.diff(np.searchsorted(at, bounds), prepend=0)
+        h, first, inverse = np.unique(W.hash_values(W._mix(codes.astype(np.uint64) + np.uint64(77)), at, end), return_index=True, return_inverse=True)
+        hashes.append(h)
+        strings += [run[a:b] for a, b in zip(at[first].tolist(), end[first].tolist())]
+        index.append((inverse + base).astype(np.uint32))
+        base += len(h)
+    if not hashes:
+        return [], np.zeros(0, np.uint32), counts
+    _, first, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    index = inverse.astype(np.uint32)[np.concatenate(index)]
+    # frequent words get low indexes, which pack well
+    by = np.argsort(-np.bincount(index, minlength=len(first)), kind="stable")
+    rank = np.empty(len(by), np.uint32)
+    rank[by] = np.arange(len(by), dtype=np.uint32)
+    return [strings[i] for i in first[by].tolist()], rank[index], counts
+
+
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """32-bit arrays as byte planes, compressed."""
+    raw = [np.array([len(a) for a in arrays], "<u4").tobytes()]
+    raw += [np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays]
+    raw = b"".join(raw)
+    return len(raw).to_bytes(8, "little") + len(arrays).to_bytes(1, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
+
+
+def _unsqueeze(raw: bytes) -> list[np.ndarray]:
+    k = raw[8]
+    raw = np.frombuffer(pa.Codec("zstd").decompress(raw[9:], int.from_bytes(raw[:8], "little"), asbytes=True), np.uint8)
+    out, at = [], 4 * k
+    for n in raw[: 4 * k].view("<u4").tolist():
+        out.append(np.ascontiguousarray(raw[at : at + 4 * n].reshape(4, -1).T).view("<u4").ravel())
+        at += 4 * n
+    return out
+
+
+_UNITS = "unit long, doc_id array<long>, n array<long>, md5 array<string>, tokens binary, words array<string>"
+
+
+def _units(sent, size: int):
+    def pack(unit: int, ids: list, texts: list) -> pa.RecordBatch:
+        words, tokens, counts = split([marked(t) for t in texts], sent.value)
+        md5 = [hashlib.md5((t or "").replace(_MARK, " ").encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([unit]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts]), pa.array([md5]), pa.array([_squeeze(tokens)], pa.binary()), pa.array([words], pa.list_(pa.string()))],
+            names=["unit", "doc_id", "n", "md5", "tokens", "words"],
+        )
 
+    def run(batches):
+        unit, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
+        for b in batches:
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                ids.append(i)
+                texts.append(t)
+                held += len(t or "") + 16
+                if held >= size:
+                    yield pack(unit, ids, texts)
+                    unit, ids, texts, held = unit + 1, [], [], 0
+        if ids:
+            yield pack(unit, ids, texts)
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(marked(text), F.lit(_WORD), F.lit(1))
+    return run
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """word, n, edges: map from start * 1000 + end to struct<score, id>, of each distinct ``word``."""
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, byte_ids: list[int]) -> DataFrame:
+    """word, edges: array of (e, s, score, ids), sorted, of each distinct ``word``; the edge of a character without a piece has its bytes' ids."""
     n = F.length("word")
     starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     spans = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, n))).alias("e"))
     sub = F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s"))
     # the piece table has a fixed size, whatever the input
-    edges = spans.withColumn("piece", sub).join(F.broadcast(pieces), "piece")
-    pairs = F.collect_list(F.struct((F.col("s") * 1000 + F.col("e")).alias("k"), F.struct("score", "id").alias("v")))
-    folded = edges.groupBy("word").agg(F.map_from_entries(pairs).alias("edges"))
-    return words.join(folded, "word", "left").select("word", n.alias("n"), F.coalesce("edges", F.create_map().cast("map<int,struct<score:double,id:int>>")).alias("edges"))
+    edges = spans.withColumn("piece", sub).join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
+    raw, table_ = F.hex(F.encode("piece", "UTF-8")), F.array(*map(F.lit, byte_ids))
+    of_byte = lambda k: F.get(table_, F.conv(F.substring(raw, (k * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
+    fallback = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), of_byte)
+    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(fallback)
+    edge = F.struct("e", "s", F.coalesce("score", F.lit(_UNKNOWN)).alias("score"), ids.alias("ids"))
+    return edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).cast(_EDGES).alias("edges"))
+
+
+def viterbi_fold(edges: Column) -> Column:
+    """Ids along the path of the highest sum: best sum and path to each place, edge after edge in order of their ends."""
+    kind = "array<struct<sum:double,path:array<int>>>"
+    start = F.array(F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<int>").alias("path"))).cast(kind)
+
+    def step(best: Column, x: Column) -> Column:
+        before = F.get(best, x["s"])
+        way = F.array(F.struct((before["sum"] + x["score"]).alias("sum"), F.concat(before["path"], x["ids"]).alias("path")))
+        return (
+            F.when(F.size(best) == x["e"], F.concat(best, way))
+            .when(before["sum"] + x["score"] > F.get(best, x["e"])["sum"], F.concat(F.slice(best, F.lit(1), x["e"]), way))
+            .otherwise(best)
+        )
 
+    return F.aggregate(edges, start, step, lambda best: F.element_at(best, -1)["path"])
 
-def merge_fold(n: Column, edges: Column) -> Column:
-    """Ends of the pieces of a BPE model: the best-scored neighbours merge until none can."""
-    start = F.sequence(F.lit(0), n)
 
-    def step(b: Column, _: Column) -> Column:
-        tries = F.transform(
-            F.when(F.size(b) >= 3, F.sequence(F.lit(0), F.size(b) - 3)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.struct(F.try_element_at(edges, F.get(b, i) * 1000 + F.get(b, i + 2))["score"].alias("score"), (-i).alias("less"), (i + 1).alias("cut")),
-        )
-        best = F.array_max(F.filter(tries, lambda t: t["score"].isNotNull()))
-        return F.when(best.isNull(), b).otherwise(F.filter(b, lambda x, j: j != best["cut"]))
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
 
-    return F.aggregate(F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), start, step)
 
+def _masks(x: Column) -> tuple[Column, Column]:
+    """Bits of an edge's two ends, and of the places between them."""
+    return _bit(x["s"]).bitwiseOR(_bit(x["e"])), _bit(x["e"]) - _bit(x["s"]) * 2
 
-def viterbi_fold(n: Column, edges: Column, longest: int, unknown: float = -1e6) -> Column:
-    """Ends of the pieces of a unigram model: the path of the highest sum; a character without a piece costs ``unknown``."""
-    kind = "array<struct<sum:double,back:int>>"
-    start = F.array(F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("back"))).cast(kind)
 
-    def step(best: Column, e: Column) -> Column:
-        ways = F.transform(
-            F.sequence(F.greatest(F.lit(0), e - longest), e - 1),
-            lambda s: F.struct(
-                (F.get(best, s)["sum"] + F.coalesce(F.try_element_at(edges, s * 1000 + e)["score"], F.when(s == e - 1, F.lit(unknown)).otherwise(F.lit(-1e300)))).alias("sum"), s.alias("back")
-            ),
-        )
-        return F.concat(best, F.array(F.array_max(ways))).cast(kind)
+def merges_of(edges: Column) -> Column:
+    """Edges over more than one character, best score first, then leftmost."""
+    def one(x: Column) -> Column:
+        outer, inner = _masks(x)
+        return F.struct((-x["score"]).alias("cost"), x["s"].alias("s"), outer.alias("outer"), inner.alias("inner"))
 
-    best = F.aggregate(F.sequence(F.lit(1), n), start, step)
+    return F.array_sort(F.filter(F.transform(edges, one), lambda x: x["inner"] != 0))
 
-    def walk(path: Column, _: Column) -> Column:
-        back = F.get(best, F.get(path, F.lit(0)))["back"]
-        return F.when(back >= 0, F.concat(F.array(back), path)).otherwise(path)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.array(n), walk)
+def merge_fold(edges: Column, merges: Column) -> Column:
+    """Borders left by a BPE model, as bits: the best-scored edge over two neighbours merges them, leftmost first, until none can."""
+    n = F.element_at(edges, -1)["e"]
 
+    def step(borders: Column, _: Column) -> Column:
+        fits = F.filter(merges, lambda m: (borders.bitwiseAND(m["outer"]) == m["outer"]) & (F.bit_count(borders.bitwiseAND(m["inner"])) == 1))
+        return F.coalesce(borders.bitwiseAND(F.bitwise_not(F.get(fits, F.lit(0))["inner"])), borders)
 
-def ids_of(word: Column, ends: Column, edges: Column, byte_ids: list[int]) -> Column:
-    """Ids between neighbouring ends; what is no piece becomes its bytes."""
-    table_ = F.array(*map(F.lit, byte_ids))
+    return F.aggregate(F.when(n >= 2, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>")), _bit(n + 1) - 1, step)
 
-    def one(i: Column) -> Column:
-        s, e = F.get(ends, i), F.get(ends, i + 1)
-        known = F.try_element_at(edges, s * 1000 + e)["id"]
-        raw = F.hex(F.encode(F.substring(word, s + 1, e - s), "UTF-8"))
-        bytes_ = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), lambda k: F.get(table_, F.conv(F.substring(raw, (k * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
-        return F.when(known.isNotNull(), F.array(known)).otherwise(bytes_)
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(ends) - 2), one))
+def standing(edges: Column, borders: Column) -> Column:
+    """Ids of the edges between neighbouring borders."""
+    def stands(x: Column) -> Column:
+        outer, inner = _masks(x)
+        return (borders.bitwiseAND(outer) == outer) & (borders.bitwiseAND(inner) == 0)
 
+    return F.flatten(F.transform(F.filter(edges, stands), lambda x: x["ids"]))
 
-def _by_library(path: str):
+
+def best_path(word: str, score: dict[str, tuple[float, list[int]]], longest: int, byte_ids: list[int]) -> list[int]:
+    """What ``viterbi_fold`` gives, for one word of any length."""
+    sums, back, ids = [0.0], [0], [[]]
+    for e in range(1, len(word) + 1):
+        best = None
+        for s in range(max(0, e - longest), e):
+            piece = word[s:e]
+            known = score.get(piece)
+            if known is None and s == e - 1:
+                known = (_UNKNOWN, [byte_ids[b] for b in piece.encode("utf-8", "replace")])
+            if known is not None and (best is None or sums[s] + known[0] > best[0]):
+                best = (sums[s] + known[0], s, known[1])
+        sums.append(best[0])
+        back.append(best[1])
+        ids.append(best[2])
+    out, e = [], len(word)
+    while e:
+        out.append(ids[e])
+        e = back[e]
+    return [i for part in reversed(out) for i in part]
+
+
+def _long_words(sent):
     def run(batches):
-        sp = _processor(path)
-        for b in chunked(batches, 1024):
-            ids = []
+        model = sent.value
+        sp, pieces = _processor(model), Pieces(model)
+        score = {p: (s, [i]) for p, i, s in pieces.rows}
+        lead = len(sp.encode("\n"))
+        for b in chunked(batches, 256):
+            ids, best = [], []
             for w in b.column("word").to_pylist():
                 if w.startswith(_MARK):
                     ids.append(sp.encode(w[1:].replace(_MARK, " ")))
                 else:  # a word after a line break and the like: take off what a leading space adds
-                    whole, lead = sp.encode("\n" + w.replace(_MARK, " ")), sp.encode("\n")
-                    ids.append(whole[len(lead) :])
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+                    ids.append(sp.encode("\n" + w.replace(_MARK, " "))[lead:])
+                best.append(best_path(w, score, pieces.longest, pieces.bytes))
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(ids, kind), pa.array(best, kind)], names=["word", "ids", "viterbi_ids"])
 
     return run
 
 
-def encode_words(words: DataFrame, path: str, long_word: int = 48) -> DataFrame:
-    """word, ids of distinct ``word`` rows."""
-    pieces, facts = piece_table(words.sparkSession, path)
-    short = words.where(F.length("word") <= long_word)
-    found = lattice(short, pieces, facts["longest"]).withColumn("ends", merge_fold(F.col("n"), F.col("edges")))
-    out = found.select("word", ids_of(F.col("word"), F.col("ends"), F.col("edges"), facts["bytes"]).alias("ids"))
-    return out.unionByName(words.where(F.length("word") > long_word).mapInArrow(_by_library(path), "word string, ids array<int>"))
+def encode_words(words: DataFrame, model: bytes, words_a_task: int = 20_000) -> DataFrame:
+    """word, ids, viterbi_ids of distinct ``word`` rows."""
+    spark = words.sparkSession
+    pieces = Pieces(model)
+    rows = spark.createDataFrame(pieces.rows, "piece string, id int, score double")
+    # a word's lattice is some hundred times its size, so tasks are cut by the number of words
+    tasks = max(1, -(-words.count() // words_a_task))
+    short = words.where(F.length("word") <= LONG).repartition(tasks, "word")
+    found = lattice(short, rows, pieces.longest, pieces.bytes)
+    # a column of its own, so that merges are sorted once a word and not in every step of the fold
+    found = found.withColumn("merges", merges_of(F.col("edges")))
+    found = found.withColumn("borders", merge_fold(F.col("edges"), F.col("merges")))
+    out = found.select("word", standing(F.col("edges"), F.col("borders")).alias("ids"), viterbi_fold(F.col("edges")).alias("viterbi_ids"))
+    sent = spark.sparkContext.broadcast(model)
+    return out.unionByName(words.where(F.length("word") > LONG).mapInArrow(_long_words(sent), "word string, ids array<int>, viterbi_ids array<int>"))
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of a list column."""
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return c.flatten().to_numpy(zero_copy_only=False), np.diff(c.offsets.to_numpy())
+
+
+def _spread(values: np.ndarray, begin: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The runs [begin, begin + len) of values one after another."""
+    upto = np.cumsum(lens)
+    return values[np.repeat(begin - (upto - lens), lens) + np.arange(upto[-1] if len(upto) else 0)]
+
+
+def _answers(rows: int = 1 << 18):
+    def pack(batches: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(batches)
+        unit, at = t.column("unit").to_numpy(), t.column("at").to_numpy()
+        sides = []
+        for name in ("ids", "viterbi_ids"):
+            values, lens = _flat(t.column(name))
+            sides.append((values, np.cumsum(lens) - lens, lens))
+        order = np.lexsort((at, unit))
+        units, cut = np.unique(unit[order], return_index=True)
+        parts = []
+        for own in np.split(order, cut[1:]):
+            parts.append(_squeeze(np.diff(at[own], prepend=0), *(x for v, b, n in sides for x in (n[own], _spread(v, b[own], n[own])))))
+        return pa.RecordBatch.from_arrays([pa.array(units), pa.array(parts, pa.binary())], names=["unit", "part"])
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= rows:
+                yield pack(held)
+                held, n = [], 0
+        if n:
+            yield pack(held)
+
+    return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, keep_text: bool = False) -> DataFrame:
-    """doc_id, ids of every row; and its ``text`` if ``keep_text``."""
+_ENCODED = "doc_id long, ids array<int>, viterbi_ids array<int>, source_md5 string"
+
+
+def _finish(key: tuple[pa.Scalar, ...], own: pa.Table, parts: pa.Table) -> pa.Table:
+    """Documents of one unit with their ids."""
+    kind = pa.list_(pa.int32())
+    if not own.num_rows:
+        return pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], kind), "viterbi_ids": pa.array([], kind), "source_md5": pa.array([], pa.string())})
+    tokens = _unsqueeze(own.column("tokens")[0].as_py())[0]
+    counts = np.array(own.column("n")[0].as_py(), np.int64)
+    got = [_unsqueeze(p) for p in parts.column("part").to_pylist()]
+    at = np.concatenate([np.cumsum(g[0]) for g in got]).astype(np.int64) if got else np.zeros(0, np.int64)
+    first = np.cumsum(counts) - counts
+    cols = []
+    for k in (1, 3):
+        lens, values = (np.concatenate([g[k + j] for g in got]) if got else np.zeros(0, np.uint32) for j in (0, 1))
+        values = values.astype(np.int32)
+        begin, n = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        n[at] = lens
+        begin[at] = np.cumsum(lens.astype(np.int64)) - lens
+        out, sizes, lo = [], [], 0
+        while lo < len(counts):  # some 500,000 words at a time
+            hi = max(lo + 1, int(np.searchsorted(first, first[lo] + 500_000)))
+            mine = tokens[first[lo] : first[hi - 1] + counts[hi - 1]]
+            out.append(_spread(values, begin[mine], n[mine]))
+            upto = np.concatenate([[0], np.cumsum(n[mine])])
+            sizes.append(upto[first[lo:hi] + counts[lo:hi] - first[lo]] - upto[first[lo:hi] - first[lo]])
+            lo = hi
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out))))
+    return pa.table({"doc_id": own.column("doc_id").chunk(0).flatten(), "ids": cols[0], "viterbi_ids": cols[1], "source_md5": own.column("md5").chunk(0).flatten()})
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, unit_bytes: int = 12 << 20) -> DataFrame:
+    """doc_id, ids, viterbi_ids, source_md5 (of the text, marks read as spaces) of every row."""
     spark = docs.sparkSession
     ship(spark)
     ws = Workspace(spark, "pieces")
-    path = model or default_model()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    rows = ws.write(rows, "texts")
-    words = words_of(F.col("text"))
-    vocabulary = ws.write(rows.select(F.explode(words).alias("word")).distinct(), "vocabulary")
-    known = ws.write(encode_words(vocabulary, path), "ids")
-    # each word of a text once, with all its places, meets its ids
-    placed = rows.select("row", F.posexplode(words).alias("pos", "word")).groupBy("row", "word").agg(F.collect_list("pos").alias("at"))
-    met = placed.join(known, "word").select("row", F.struct("at", "ids").alias("m")).groupBy("row").agg(F.collect_list("m").alias("ms"))
-    spread = F.flatten(F.transform("ms", lambda m: F.transform(m["at"], lambda p: F.struct(p.alias("p"), m["ids"].alias("ids")))))
-    ids = F.flatten(F.transform(F.array_sort(spread), lambda x: x["ids"]))
-    out = (rows if keep_text else rows.drop("text")).join(met.select("row", ids.alias("ids")), "row", "left")
-    return out.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), *(["text"] if keep_text else []))
-
-
-def decode(encoded: DataFrame, ids_col: str = "ids", model: str | None = None) -> DataFrame:
-    """``encoded`` with ``text``: the pieces' text, bytes put together, marks turned back into spaces."""
-    _, facts = piece_table(encoded.sparkSession, model or default_model())
-    byte_of = {i: b for b, i in enumerate(facts["bytes"])}
-    silent = set(facts["silent"])
-    raw = [("" if i in silent else f"{byte_of[i]:02X}" if i in byte_of else p.encode().hex().upper()) for i, p in enumerate(facts["all"])]
-    # one constant array of the vocabulary's size
-    hexes = F.split(F.lit(",".join(raw)), ",")
-    joined = F.array_join(F.transform(F.col(ids_col), lambda i: F.get(hexes, i)), "")
-    text = F.replace(F.decode(F.unhex(joined), "UTF-8"), F.lit(_MARK), F.lit(" "))
-    return encoded.withColumn("text", F.when(F.startswith(text, F.lit(" ")), F.substring(text, F.lit(2), F.length(text))).otherwise(text))
+    proto = open(model or default_model(), "rb").read()
+    near = spark.sparkContext.broadcast(Neighbours([p for p, _, _ in Pieces(proto).rows]))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    units = ws.write(src.mapInArrow(_units(near, unit_bytes), _UNITS), "units")
+    asked = units.select("unit", F.posexplode("words").alias("at", "word"))
+    vocabulary = ws.write(asked.select("word").distinct(), "vocabulary")
+    known = ws.write(encode_words(vocabulary, proto), "ids")
+    met = asked.join(known.hint("shuffle_hash"), "word").select("unit", "at", "ids", "viterbi_ids")
+    parts = met.mapInArrow(_answers(), "unit long, part binary")
+    own = units.select("unit", "doc_id", "n", "md5", "tokens")
+    return own.groupBy("unit").cogroup(parts.groupBy("unit")).applyInArrow(_finish, _ENCODED)
+
+
+def _decode(sent, ids_col: str, out: str):
+    def run(batches):
+        raw = sent.value
+        lens = np.array([len(r) for r in raw], np.int64)
+        begin = np.cumsum(lens) - lens
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        for b in chunked(batches, 64):
+            c = b.column(ids_col)
+            texts = []
+            for k in range(b.num_rows):
+                ids = c[k].values
+                if ids is None:
+                    texts.append(None)
+                    continue
+                ids = ids.to_numpy(zero_copy_only=False)
+                t = _spread(flat, begin[ids], lens[ids]).tobytes().decode("utf-8", "replace").replace(_MARK, " ")
+                texts.append(t[1:] if t.startswith(" ") else t)
+            yield b.append_column(out, pa.array(texts, pa.string()))
+
+    return run
+
+
+def decode(encoded: DataFrame, ids_col: str = "ids", model: str | None = None, out: str = "text") -> DataFrame:
+    """``encoded`` with the text of its ids: the pieces' bytes put together, marks turned back into spaces; null ids give null."""
+    ship(encoded.sparkSession)
+    sent = encoded.sparkSession.sparkContext.broadcast(Pieces(open(model or default_model(), "rb").read()).raw)
+    fields = [*encoded.drop(out).schema.fields]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{out}` string"])
+    return encoded.drop(out).mapInArrow(_decode(sent, ids_col, out), schema)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, ids, decoded, round_trip (``decoded`` is the document's text, marks read as spaces) of every document."""
-    out = decode(encode(table(spark, sf_dir, "documents"), keep_text=True).withColumnRenamed("text", "source"))
-    source = F.replace(F.coalesce("source", F.lit("")), F.lit(_MARK), F.lit(" "))
-    return out.select("doc_id", "ids", F.col("text").alias("decoded"), (F.col("text") == source).alias("round_trip"))
+    """doc_id, ids, viterbi_ids, decoded (of ids), round_trip (ids and viterbi_ids both decode to the document's text, marks read as spaces)."""
+    out = decode(encode(table(spark, sf_dir, "documents")), out="decoded")
+    out = decode(out, "viterbi_ids", out="_best")
+    same = (F.md5("decoded") == F.col("source_md5")) & (F.col("_best") == F.col("decoded"))
+    return out.select("doc_id", "ids", "viterbi_ids", "decoded", same.alias("round_trip"))

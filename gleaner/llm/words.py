@@ -43,12 +43,17 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"], _powers["i"]
 
 
+def hash_values(v: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the spans [start, end) of randomised 64-bit values."""
+    p, inv = _power_tables(len(v) + 1)
+    acc = np.zeros(len(v) + 1, np.uint64)
+    np.cumsum(v * p[: len(v)], out=acc[1:])
+    return _mix((acc[ends] - acc[starts]) * inv[starts])
+
+
 def hash_spans(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the byte spans [start, end) of ``b``."""
-    p, inv = _power_tables(len(b) + 1)
-    acc = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_BYTE[b] * p[: len(b)], out=acc[1:])
-    return _mix((acc[ends] - acc[starts]) * inv[starts])
+    return hash_values(_BYTE[b], starts, ends)
 
 
 def hash_piece(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,16 +124,3 @@ def window_hashes(words: np.ndarray, width: int, which: int = 0) -> np.ndarray:
     acc *= mul
     acc += np.uint64(width)
     return _mix(acc)
-
-
-def pack_ints(a: np.ndarray) -> bytes:
-    """Fixed-width integers as byte planes, which block compressors shrink well."""
-    a = np.ascontiguousarray(a)
-    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() if len(a) else b""
-
-
-def unpack_ints(raw: bytes, dtype: str) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    if not raw:
-        return np.zeros(0, dtype)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
