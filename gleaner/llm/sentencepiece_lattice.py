@@ -40,7 +40,6 @@ from gleaner.llm.common import Workspace, chunked, ship, table
 _MARK = "▁"
 LONG = 60
 _UNKNOWN = -1e12  # of a character without a piece, below any sum of scores of one word
-_EDGES = "array<struct<e:int,s:int,score:double,ids:array<int>>>"
 
 
 def default_model() -> str:
@@ -56,7 +55,7 @@ def _processor(model: bytes | str):
 
 
 class Pieces:
-    """A model's pieces: ``rows`` (piece, id, score) of the ordinary ones, byte ids, and each id's bytes when decoded."""
+    """A model's pieces: ``rows`` (piece, id, score) of the ordinary ones, scores and their ranks by id + 1, byte ids, and each id's bytes when decoded."""
 
     def __init__(self, model: bytes | str):
         sp = _processor(model)
@@ -65,6 +64,11 @@ class Pieces:
         self.rows = [(sp.id_to_piece(i), i, float(sp.get_score(i))) for i in plain]
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(len(p) for p, _, _ in self.rows)
+        # by id + 1; 0 is a character without a piece, ids that are no ordinary pieces are never looked up
+        of = {i: s for _, i, s in self.rows}
+        self.scores = [_UNKNOWN] + [of.get(i, _UNKNOWN) for i in range(n)]
+        rank = {s: k for k, s in enumerate(sorted(set(self.scores), reverse=True))}
+        self.ranks = [rank[s] for s in self.scores]
         self.raw = [b"" if sp.is_control(i) else sp.id_to_piece(i).encode() for i in range(n)]
         for b, i in enumerate(self.bytes):
             self.raw[i] = bytes([b])
@@ -105,7 +109,7 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def _runs(texts: list[str], near: Neighbours, size: int = 1 << 20):
+def _runs(texts: list[str], near: Neighbours, size: int = 1 << 19):
     """(first text, text after the last, their characters): some ``size`` at a time, longer texts cut between words."""
     lo, held = 0, 0
     for i, t in enumerate(texts):
@@ -208,75 +212,117 @@ def _units(sent, size: int):
     return run
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int, byte_ids: list[int]) -> DataFrame:
-    """word, edges: array of (e, s, score, ids), sorted, of each distinct ``word``; the edge of a character without a piece has its bytes' ids."""
+def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """word, edges: the sorted codes of the edges of each distinct ``word``.
+
+    A code holds end, start and id + 1 of an edge; 0 there is the edge of a character without a piece.
+    """
     n = F.length("word")
     starts = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     spans = starts.select("word", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, n))).alias("e"))
     sub = F.substring(F.col("word"), F.col("s") + 1, F.col("e") - F.col("s"))
     # the piece table has a fixed size, whatever the input
-    edges = spans.withColumn("piece", sub).join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
-    raw, table_ = F.hex(F.encode("piece", "UTF-8")), F.array(*map(F.lit, byte_ids))
-    of_byte = lambda k: F.get(table_, F.conv(F.substring(raw, (k * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
-    fallback = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), of_byte)
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(fallback)
-    edge = F.struct("e", "s", F.coalesce("score", F.lit(_UNKNOWN)).alias("score"), ids.alias("ids"))
-    return edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).cast(_EDGES).alias("edges"))
-
-
-def viterbi_fold(edges: Column) -> Column:
-    """Ids along the path of the highest sum: best sum and path to each place, edge after edge in order of their ends."""
-    kind = "array<struct<sum:double,path:array<int>>>"
-    start = F.array(F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<int>").alias("path"))).cast(kind)
-
-    def step(best: Column, x: Column) -> Column:
-        before = F.get(best, x["s"])
-        way = F.array(F.struct((before["sum"] + x["score"]).alias("sum"), F.concat(before["path"], x["ids"]).alias("path")))
+    edges = spans.withColumn("piece", sub).join(F.broadcast(pieces.select("piece", "id")), "piece", "left").where(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
+    code = F.col("e").cast("long") * (1 << 40) + F.col("s") * F.lit(1 << 32) + F.coalesce(F.col("id") + 1, F.lit(0))
+    return edges.groupBy("word").agg(F.sort_array(F.collect_list(code)).alias("edges"))
+
+
+def _end(x: Column) -> Column:
+    return F.shiftright(x, 40).cast("int")
+
+
+def _start(x: Column) -> Column:
+    return F.shiftright(x, 32).bitwiseAND(255).cast("int")
+
+
+def _piece(x: Column) -> Column:
+    """Id + 1 of an edge."""
+    return x.bitwiseAND(2**31 - 1).cast("int")
+
+
+def _constant(values: list, kind: str) -> Column:
+    """One literal array of the vocabulary's size (folded when the plan is made)."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
+def viterbi_fold(edges: Column, scores: list[float]) -> Column:
+    """Codes along the path of the highest sum: best sum and path to each place, edge after edge in order of their ends.
+
+    ``scores`` are by id + 1.
+    """
+    kind = "struct<sum:double,path:array<bigint>>"
+    way = lambda total, path: F.struct(total.alias("sum"), path.alias("path"))
+    state = lambda done, e, now: F.struct(done.alias("done"), e.alias("e"), now.alias("now"))
+    table_ = _constant(scores, "double")
+
+    def step(st: Column, x: Column) -> Column:
+        """``done`` has the places before ``e``, ``now`` the best way to ``e`` so far."""
+        same = st["e"] == x["e"]
+        to = lambda before: (before["sum"] + x["score"], F.concat(before["path"], x["code"]))
+        here, past = F.get(st["done"], x["s"]), F.concat(st["done"], F.array(st["now"]))
         return (
-            F.when(F.size(best) == x["e"], F.concat(best, way))
-            .when(before["sum"] + x["score"] > F.get(best, x["e"])["sum"], F.concat(F.slice(best, F.lit(1), x["e"]), way))
-            .otherwise(best)
+            F.when(same & (here["sum"] + x["score"] <= st["now"]["sum"]), st)
+            .when(same, state(st["done"], x["e"], way(*to(here))))
+            .otherwise(state(past, x["e"], F.when(x["s"] == st["e"], way(*to(st["now"]))).otherwise(way(*to(here)))))
         )
 
-    return F.aggregate(edges, start, step, lambda best: F.element_at(best, -1)["path"])
+    start = state(F.array().cast(f"array<{kind}>"), F.lit(0), way(F.lit(0.0), F.array().cast("array<bigint>"))).cast(f"struct<done:array<{kind}>,e:int,now:{kind}>")
+    read = F.transform(edges, lambda x: F.struct(_end(x).alias("e"), _start(x).alias("s"), F.get(table_, _piece(x)).alias("score"), F.array(x).alias("code")))
+    return F.aggregate(read, start, step, lambda st: st["now"]["path"])
 
 
 def _bit(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k)
 
 
-def _masks(x: Column) -> tuple[Column, Column]:
-    """Bits of an edge's two ends, and of the places between them."""
-    return _bit(x["s"]).bitwiseOR(_bit(x["e"])), _bit(x["e"]) - _bit(x["s"]) * 2
+def merge_fold(edges: Column, ranks: list[int]) -> Column:
+    """Codes that a BPE model leaves: the best-scored edge over two neighbours merges them, leftmost first, until none can.
+
+    ``ranks`` are by id + 1, 0 for the best score. The state is a bit for each border that stands.
+    """
+    rank = _constant(ranks, "bigint")
+    masks = lambda s, e: (_bit(s).bitwiseOR(_bit(e)), _bit(e) - _bit(s) * 2)  # noqa: E731  ends; places between them
+    wide = F.filter(edges, lambda x: _end(x) - _start(x) >= 2)
+    order = F.sort_array(F.transform(wide, lambda x: F.get(rank, _piece(x)) * 65536 + _start(x) * 256 + _end(x)))
+
+    def with_masks(m: Column) -> Column:
+        outer, inner = masks(F.shiftright(m, 8).bitwiseAND(255).cast("int"), m.bitwiseAND(255).cast("int"))
+        return F.struct(outer.alias("outer"), inner.alias("inner"))
 
+    n = _end(F.element_at(edges, -1))
+    steps = F.when(n >= 2, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
 
-def merges_of(edges: Column) -> Column:
-    """Edges over more than one character, best score first, then leftmost."""
-    def one(x: Column) -> Column:
-        outer, inner = _masks(x)
-        return F.struct((-x["score"]).alias("cost"), x["s"].alias("s"), outer.alias("outer"), inner.alias("inner"))
+    def fold(merges: Column) -> Column:
+        def step(borders: Column, _: Column) -> Column:
+            fits = F.filter(merges, lambda m: (borders.bitwiseAND(m["outer"]) == m["outer"]) & (F.bit_count(borders.bitwiseAND(m["inner"])) == 1))
+            inner = F.get(fits, F.lit(0))["inner"]
+            # the sign tells that nothing merges any more
+            return F.when(borders < 0, borders).otherwise(F.coalesce(borders.bitwiseAND(F.bitwise_not(inner)), borders.bitwiseOR(F.lit(-(2**63)))))
 
-    return F.array_sort(F.filter(F.transform(edges, one), lambda x: x["inner"] != 0))
+        def standing(borders: Column) -> Column:
+            def stands(x: Column) -> Column:
+                outer, inner = masks(_start(x), _end(x))
+                return (borders.bitwiseAND(outer) == outer) & (borders.bitwiseAND(inner) == 0)
 
+            return F.filter(edges, stands)
 
-def merge_fold(edges: Column, merges: Column) -> Column:
-    """Borders left by a BPE model, as bits: the best-scored edge over two neighbours merges them, leftmost first, until none can."""
-    n = F.element_at(edges, -1)["e"]
+        return F.aggregate(steps, _bit(n + 1) - 1, step, standing)
 
-    def step(borders: Column, _: Column) -> Column:
-        fits = F.filter(merges, lambda m: (borders.bitwiseAND(m["outer"]) == m["outer"]) & (F.bit_count(borders.bitwiseAND(m["inner"])) == 1))
-        return F.coalesce(borders.bitwiseAND(F.bitwise_not(F.get(fits, F.lit(0))["inner"])), borders)
+    # a lambda's variable is computed once, a column might be put into every step
+    return F.get(F.transform(F.array(F.transform(order, with_masks)), fold), F.lit(0))
 
-    return F.aggregate(F.when(n >= 2, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>")), _bit(n + 1) - 1, step)
 
+def ids_of(word: Column, codes: Column, byte_ids: list[int]) -> Column:
+    """Ids of a path; a character without a piece becomes its bytes."""
+    table_ = _constant(byte_ids, "int")
 
-def standing(edges: Column, borders: Column) -> Column:
-    """Ids of the edges between neighbouring borders."""
-    def stands(x: Column) -> Column:
-        outer, inner = _masks(x)
-        return (borders.bitwiseAND(outer) == outer) & (borders.bitwiseAND(inner) == 0)
+    def bytes_(x: Column) -> Column:
+        raw = F.hex(F.encode(F.substring(word, _start(x) + 1, _end(x) - _start(x)), "UTF-8"))
+        of = lambda k: F.get(table_, F.conv(F.substring(raw, (k * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
+        return F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), of)
 
-    return F.flatten(F.transform(F.filter(edges, stands), lambda x: x["ids"]))
+    plain = F.transform(codes, lambda x: _piece(x) - 1)
+    return F.when(F.array_contains(plain, -1), F.flatten(F.transform(codes, lambda x: F.when(_piece(x) > 0, F.array(_piece(x) - 1)).otherwise(bytes_(x))))).otherwise(plain)
 
 
 def best_path(word: str, score: dict[str, tuple[float, list[int]]], longest: int, byte_ids: list[int]) -> list[int]:
@@ -329,11 +375,10 @@ def encode_words(words: DataFrame, model: bytes, words_a_task: int = 20_000) ->
     # a word's lattice is some hundred times its size, so tasks are cut by the number of words
     tasks = max(1, -(-words.count() // words_a_task))
     short = words.where(F.length("word") <= LONG).repartition(tasks, "word")
-    found = lattice(short, rows, pieces.longest, pieces.bytes)
-    # a column of its own, so that merges are sorted once a word and not in every step of the fold
-    found = found.withColumn("merges", merges_of(F.col("edges")))
-    found = found.withColumn("borders", merge_fold(F.col("edges"), F.col("merges")))
-    out = found.select("word", standing(F.col("edges"), F.col("borders")).alias("ids"), viterbi_fold(F.col("edges")).alias("viterbi_ids"))
+    found = lattice(short, rows, pieces.longest)
+    folded = found.select("word", merge_fold(F.col("edges"), pieces.ranks).alias("merged"), viterbi_fold(F.col("edges"), pieces.scores).alias("best"))
+    word = F.col("word")
+    out = folded.select("word", ids_of(word, F.col("merged"), pieces.bytes).alias("ids"), ids_of(word, F.col("best"), pieces.bytes).alias("viterbi_ids"))
     sent = spark.sparkContext.broadcast(model)
     return out.unionByName(words.where(F.length("word") > LONG).mapInArrow(_long_words(sent), "word string, ids array<int>, viterbi_ids array<int>"))
 
@@ -382,43 +427,65 @@ def _answers(rows: int = 1 << 18):
 _ENCODED = "doc_id long, ids array<int>, viterbi_ids array<int>, source_md5 string"
 
 
-def _finish(key: tuple[pa.Scalar, ...], own: pa.Table, parts: pa.Table) -> pa.Table:
-    """Documents of one unit with their ids."""
-    kind = pa.list_(pa.int32())
-    if not own.num_rows:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], kind), "viterbi_ids": pa.array([], kind), "source_md5": pa.array([], pa.string())})
-    tokens = _unsqueeze(own.column("tokens")[0].as_py())[0]
-    counts = np.array(own.column("n")[0].as_py(), np.int64)
-    got = [_unsqueeze(p) for p in parts.column("part").to_pylist()]
-    at = np.concatenate([np.cumsum(g[0]) for g in got]).astype(np.int64) if got else np.zeros(0, np.int64)
-    first = np.cumsum(counts) - counts
-    cols = []
-    for k in (1, 3):
-        lens, values = (np.concatenate([g[k + j] for g in got]) if got else np.zeros(0, np.uint32) for j in (0, 1))
-        values = values.astype(np.int32)
-        begin, n = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        n[at] = lens
-        begin[at] = np.cumsum(lens.astype(np.int64)) - lens
-        out, sizes, lo = [], [], 0
-        while lo < len(counts):  # some 500,000 words at a time
-            hi = max(lo + 1, int(np.searchsorted(first, first[lo] + 500_000)))
-            mine = tokens[first[lo] : first[hi - 1] + counts[hi - 1]]
-            out.append(_spread(values, begin[mine], n[mine]))
-            upto = np.concatenate([[0], np.cumsum(n[mine])])
-            sizes.append(upto[first[lo:hi] + counts[lo:hi] - first[lo]] - upto[first[lo:hi] - first[lo]])
-            lo = hi
-        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-        cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out))))
-    return pa.table({"doc_id": own.column("doc_id").chunk(0).flatten(), "ids": cols[0], "viterbi_ids": cols[1], "source_md5": own.column("md5").chunk(0).flatten()})
-
-
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, unit_bytes: int = 12 << 20) -> DataFrame:
-    """doc_id, ids, viterbi_ids, source_md5 (of the text, marks read as spaces) of every row."""
+def _texts(ids: pa.ListArray, raw: list[bytes], rows: int = 64) -> list[str | None]:
+    """Texts of ids: their bytes put together, marks turned back into spaces."""
+    lens = np.array([len(r) for r in raw], np.int64)
+    begin = np.cumsum(lens) - lens
+    flat, texts = np.frombuffer(b"".join(raw), np.uint8), []
+    for lo in range(0, len(ids), rows):
+        part = ids.slice(lo, rows)
+        own = part.flatten().to_numpy(zero_copy_only=False)
+        data = _spread(flat, begin[own], lens[own]).tobytes()
+        at = np.concatenate([[0], np.cumsum(lens[own])])[np.concatenate([[0], np.cumsum(part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])].tolist()
+        for known, i, j in zip(part.is_valid().to_pylist(), at, at[1:]):
+            t = data[i:j].decode("utf-8", "replace").replace(_MARK, " ")
+            texts.append((t[1:] if t.startswith(" ") else t) if known else None)
+    return texts
+
+
+def _finish(sent):
+    def run(key: tuple[pa.Scalar, ...], own: pa.Table, parts: pa.Table) -> pa.Table:
+        """Documents of one unit with their ids (and the texts of these, if the pieces' bytes are given)."""
+        kind = pa.list_(pa.int32())
+        if not own.num_rows:
+            out = pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], kind), "viterbi_ids": pa.array([], kind), "source_md5": pa.array([], pa.string())})
+            return out.append_column("text", pa.array([], pa.string())) if sent else out
+        tokens = _unsqueeze(own.column("tokens")[0].as_py())[0]
+        counts = np.array(own.column("n")[0].as_py(), np.int64)
+        got = [_unsqueeze(p) for p in parts.column("part").to_pylist()]
+        at = np.concatenate([np.cumsum(g[0]) for g in got]).astype(np.int64) if got else np.zeros(0, np.int64)
+        first = np.cumsum(counts) - counts
+        cols = []
+        for k in (1, 3):
+            lens, values = (np.concatenate([g[k + j] for g in got]) if got else np.zeros(0, np.uint32) for j in (0, 1))
+            values = values.astype(np.int32)
+            begin, n = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            n[at] = lens
+            begin[at] = np.cumsum(lens.astype(np.int64)) - lens
+            out, sizes, lo = [], [], 0
+            while lo < len(counts):  # some 250,000 words at a time
+                hi = max(lo + 1, int(np.searchsorted(first, first[lo] + 250_000)))
+                mine = tokens[first[lo] : first[hi - 1] + counts[hi - 1]]
+                out.append(_spread(values, begin[mine], n[mine]))
+                upto = np.concatenate([[0], np.cumsum(n[mine])])
+                sizes.append(upto[first[lo:hi] + counts[lo:hi] - first[lo]] - upto[first[lo:hi] - first[lo]])
+                lo = hi
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+            cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out))))
+        t = pa.table({"doc_id": own.column("doc_id").chunk(0).flatten(), "ids": cols[0], "viterbi_ids": cols[1], "source_md5": own.column("md5").chunk(0).flatten()})
+        return t.append_column("text", pa.array(_texts(cols[0], sent.value), pa.string())) if sent else t
+
+    return run
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, unit_bytes: int = 6 << 20, with_text: bool = False) -> DataFrame:
+    """doc_id, ids, viterbi_ids, source_md5 (of the text, marks read as spaces) of every row; and ``text``, decoded from ids, if asked for."""
     spark = docs.sparkSession
     ship(spark)
     ws = Workspace(spark, "pieces")
     proto = open(model or default_model(), "rb").read()
-    near = spark.sparkContext.broadcast(Neighbours([p for p, _, _ in Pieces(proto).rows]))
+    pieces = Pieces(proto)
+    near = spark.sparkContext.broadcast(Neighbours([p for p, _, _ in pieces.rows]))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     units = ws.write(src.mapInArrow(_units(near, unit_bytes), _UNITS), "units")
     asked = units.select("unit", F.posexplode("words").alias("at", "word"))
@@ -427,27 +494,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     met = asked.join(known.hint("shuffle_hash"), "word").select("unit", "at", "ids", "viterbi_ids")
     parts = met.mapInArrow(_answers(), "unit long, part binary")
     own = units.select("unit", "doc_id", "n", "md5", "tokens")
-    return own.groupBy("unit").cogroup(parts.groupBy("unit")).applyInArrow(_finish, _ENCODED)
+    sent = spark.sparkContext.broadcast(pieces.raw) if with_text else None
+    return own.groupBy("unit").cogroup(parts.groupBy("unit")).applyInArrow(_finish(sent), _ENCODED + ", text string" * with_text)
 
 
 def _decode(sent, ids_col: str, out: str):
     def run(batches):
-        raw = sent.value
-        lens = np.array([len(r) for r in raw], np.int64)
-        begin = np.cumsum(lens) - lens
-        flat = np.frombuffer(b"".join(raw), np.uint8)
-        for b in chunked(batches, 64):
-            c = b.column(ids_col)
-            texts = []
-            for k in range(b.num_rows):
-                ids = c[k].values
-                if ids is None:
-                    texts.append(None)
-                    continue
-                ids = ids.to_numpy(zero_copy_only=False)
-                t = _spread(flat, begin[ids], lens[ids]).tobytes().decode("utf-8", "replace").replace(_MARK, " ")
-                texts.append(t[1:] if t.startswith(" ") else t)
-            yield b.append_column(out, pa.array(texts, pa.string()))
+        for b in chunked(batches, 1024):
+            yield b.append_column(out, pa.array(_texts(b.column(ids_col), sent.value), pa.string()))
 
     return run
 
@@ -456,14 +510,12 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model: str | None = None, o
     """``encoded`` with the text of its ids: the pieces' bytes put together, marks turned back into spaces; null ids give null."""
     ship(encoded.sparkSession)
     sent = encoded.sparkSession.sparkContext.broadcast(Pieces(open(model or default_model(), "rb").read()).raw)
-    fields = [*encoded.drop(out).schema.fields]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{out}` string"])
-    return encoded.drop(out).mapInArrow(_decode(sent, ids_col, out), schema)
+    rest = encoded.drop(out)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields] + [f"`{out}` string"])
+    return rest.mapInArrow(_decode(sent, ids_col, out), schema)
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, ids, viterbi_ids, decoded (of ids), round_trip (ids and viterbi_ids both decode to the document's text, marks read as spaces)."""
-    out = decode(encode(table(spark, sf_dir, "documents")), out="decoded")
-    out = decode(out, "viterbi_ids", out="_best")
-    same = (F.md5("decoded") == F.col("source_md5")) & (F.col("_best") == F.col("decoded"))
-    return out.select("doc_id", "ids", "viterbi_ids", "decoded", same.alias("round_trip"))
+    """doc_id, ids, viterbi_ids, decoded (from ids), round_trip (``decoded`` is the document's text, marks read as spaces)."""
+    out = encode(table(spark, sf_dir, "documents"), with_text=True)
+    return out.select("doc_id", "ids", "viterbi_ids", F.col("text").alias("decoded"), (F.md5("text") == F.col("source_md5")).alias("round_trip"))

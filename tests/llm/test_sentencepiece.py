@@ -52,8 +52,9 @@ def test_viterbi_is_best(spark):
     ids = {p: i for i, p in enumerate(score)}
     pieces = spark.createDataFrame([(p, ids[p], s) for p, s in score.items()], "piece string, id int, score double")
     words = ["".join(w) for n in (1, 3, 5, 7) for w in itertools.product("ab", repeat=n)] + ["abéb"]
-    lat = S.lattice(spark.createDataFrame([(w,) for w in words], "word string"), pieces, 3, list(range(1000, 1256)))
-    got = {r["word"]: r["ids"] for r in lat.select("word", S.viterbi_fold(F.col("edges")).alias("ids")).collect()}
+    lat = S.lattice(spark.createDataFrame([(w,) for w in words], "word string"), pieces, 3)
+    path = S.viterbi_fold(F.col("edges"), [S._UNKNOWN, *score.values()])
+    got = {r["word"]: r["ids"] for r in lat.select("word", S.ids_of(F.col("word"), path, list(range(1000, 1256))).alias("ids")).collect()}
     assert set(got) == set(words) and got.pop("abéb") == [ids["ab"], 1000 + 0xC3, 1000 + 0xA9, ids["b"]]
     names = {i: p for p, i in ids.items()}
 
