@@ -367,20 +367,30 @@ def _long_words(sent):
     return run
 
 
-def encode_words(words: DataFrame, model: bytes, words_a_task: int = 20_000) -> DataFrame:
-    """word, ids, viterbi_ids of distinct ``word`` rows."""
-    spark = words.sparkSession
-    pieces = Pieces(model)
-    rows = spark.createDataFrame(pieces.rows, "piece string, id int, score double")
-    # a word's lattice is some hundred times its size, so tasks are cut by the number of words
-    tasks = max(1, -(-words.count() // words_a_task))
-    short = words.where(F.length("word") <= LONG).repartition(tasks, "word")
-    found = lattice(short, rows, pieces.longest)
+def encode_short(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """word, ids, viterbi_ids of distinct ``word`` rows of at most ``LONG`` characters, where they are."""
+    rows = words.sparkSession.createDataFrame(pieces.rows, "piece string, id int, score double")
+    found = lattice(words, rows, pieces.longest)
     folded = found.select("word", merge_fold(F.col("edges"), pieces.ranks).alias("merged"), viterbi_fold(F.col("edges"), pieces.scores).alias("best"))
     word = F.col("word")
-    out = folded.select("word", ids_of(word, F.col("merged"), pieces.bytes).alias("ids"), ids_of(word, F.col("best"), pieces.bytes).alias("viterbi_ids"))
-    sent = spark.sparkContext.broadcast(model)
-    return out.unionByName(words.where(F.length("word") > LONG).mapInArrow(_long_words(sent), "word string, ids array<int>, viterbi_ids array<int>"))
+    return folded.select("word", ids_of(word, F.col("merged"), pieces.bytes).alias("ids"), ids_of(word, F.col("best"), pieces.bytes).alias("viterbi_ids"))
+
+
+def encode_asked(asked: DataFrame, pieces: Pieces, model, tasks: int) -> DataFrame:
+    """unit, at, ids, viterbi_ids of the words (unit, at, word) that units ask for.
+
+    Words are shuffled once: the distinct words, their lattices and the join back to those who ask share one exchange
+    by word (hence the minima: a reader of all columns keeps Spark from making a second, narrower one). A word
+    has a row for each unit that holds it, never for each text.
+    """
+    out = None
+    for long in (False, True):
+        own = asked.where((F.length("word") > LONG) == long).repartition(tasks, "word")
+        words = own.groupBy("word").agg(F.min("unit").alias("u"), F.min("at").alias("a")).where(F.col("u").isNotNull() & F.col("a").isNotNull()).select("word")
+        known = words.mapInArrow(_long_words(model), "word string, ids array<int>, viterbi_ids array<int>") if long else encode_short(words, pieces)
+        met = own.join(known.hint("shuffle_hash"), "word").select("unit", "at", "ids", "viterbi_ids")
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def _flat(column) -> tuple[np.ndarray, np.ndarray]:
@@ -478,7 +488,9 @@ def _finish(sent):
     return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, unit_bytes: int = 6 << 20, with_text: bool = False) -> DataFrame:
+def encode(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, unit_bytes: int = 6 << 20, words_a_task: int = 50_000, with_text: bool = False,
+) -> DataFrame:
     """doc_id, ids, viterbi_ids, source_md5 (of the text, marks read as spaces) of every row; and ``text``, decoded from ids, if asked for."""
     spark = docs.sparkSession
     ship(spark)
@@ -489,9 +501,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     units = ws.write(src.mapInArrow(_units(near, unit_bytes), _UNITS), "units")
     asked = units.select("unit", F.posexplode("words").alias("at", "word"))
-    vocabulary = ws.write(asked.select("word").distinct(), "vocabulary")
-    known = ws.write(encode_words(vocabulary, proto), "ids")
-    met = asked.join(known.hint("shuffle_hash"), "word").select("unit", "at", "ids", "viterbi_ids")
+    # a word's lattice is some hundred times its size, so tasks are cut by the number of words
+    tasks = max(1, -(-units.select(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] // words_a_task))
+    met = encode_asked(asked, pieces, spark.sparkContext.broadcast(proto), int(tasks))
     parts = met.mapInArrow(_answers(), "unit long, part binary")
     own = units.select("unit", "doc_id", "n", "md5", "tokens")
     sent = spark.sparkContext.broadcast(pieces.raw) if with_text else None
