@@ -15,7 +15,8 @@ with Spark's higher-order ``aggregate``. Two folds run over the same edges:
 Both decode to the text. Characters without a piece are edges to their bytes.
 
 Texts are read once: a unit (``unit_bytes`` of text) keeps its words as indexes into its own distinct words, which it asks
-for once; their ids come back in packed parts, so neither texts nor a row a word of each text are shuffled.
+for once; their ids come back in packed parts, so neither texts nor a row a word of each text are shuffled. Units are
+packed by where rows are read: ``docs`` must give the same rows in the same order if a lost executor's part is read again, as files do.
 A word of more than ``LONG`` characters, for which a mask has no room, is folded outside of Spark's functions by the
 same two rules (the library for ``ids``, a loop for ``viterbi_ids``): results do not depend on the length.
 
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import words as W
-from gleaner.llm.common import Workspace, chunked, ship, table
+from gleaner.llm.common import chunked, ship, table, text_chars
 
 _MARK = "▁"
 LONG = 60
@@ -184,17 +185,18 @@ def _unsqueeze(raw: bytes) -> list[np.ndarray]:
     return out
 
 
-_UNITS = "unit long, doc_id array<long>, n array<long>, md5 array<string>, tokens binary, words array<string>"
-
-
 def _units(sent, size: int):
     def pack(unit: int, ids: list, texts: list) -> pa.RecordBatch:
         words, tokens, counts = split([marked(t) for t in texts], sent.value)
         md5 = [hashlib.md5((t or "").replace(_MARK, " ").encode("utf-8", "surrogatepass")).hexdigest() for t in texts]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([unit]), pa.array([ids], pa.list_(pa.int64())), pa.array([counts]), pa.array([md5]), pa.array([_squeeze(tokens)], pa.binary()), pa.array([words], pa.list_(pa.string()))],
-            names=["unit", "doc_id", "n", "md5", "tokens", "words"],
+        body = pa.RecordBatch.from_arrays(
+            [pa.array([ids], pa.list_(pa.int64())), pa.array([counts]), pa.array([md5]), pa.array([_squeeze(tokens)], pa.binary()), pa.array([words], pa.list_(pa.string()))],
+            names=["doc_id", "n", "md5", "tokens", "words"],
         )
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, body.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(body)
+        return pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["unit", "payload"])
 
     def run(batches):
         unit, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
@@ -212,6 +214,21 @@ def _units(sent, size: int):
     return run
 
 
+def _open(payload: bytes, *fields: int) -> pa.RecordBatch:
+    """Of a unit: doc_id, n, md5, tokens, words, or those of these places."""
+    with pa.ipc.open_stream(payload, options=pa.ipc.IpcReadOptions(included_fields=list(fields))) as r:
+        return r.read_next_batch()
+
+
+def _asks(batches):
+    for b in batches:
+        for unit, payload in zip(b.column("unit").to_pylist(), b.column("payload")):
+            words = _open(payload.as_buffer(), 4).column(0).flatten()
+            for lo in range(0, len(words), 20_000):
+                part = words.slice(lo, 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array([unit] * len(part)), pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), part], names=["unit", "at", "word"])
+
+
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """word, edges: the sorted codes of the edges of each distinct ``word``.
 
@@ -465,56 +482,56 @@ def _finish(sent):
         if not own.num_rows:
             out = pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], kind), "viterbi_ids": pa.array([], kind), "source_md5": pa.array([], pa.string())})
             return out.append_column("text", pa.array([], pa.string())) if sent else out
-        tokens = _unsqueeze(own.column("tokens")[0].as_py())[0]
-        counts = np.array(own.column("n")[0].as_py(), np.int64)
+        own = _open(own.column("payload")[0].as_buffer(), 0, 1, 2, 3)
+        doc_id, md5 = own.column("doc_id").flatten(), own.column("md5").flatten()
+        tokens, counts = _unsqueeze(own.column("tokens")[0].as_py())[0], own.column("n").flatten().to_numpy()
         got = [_unsqueeze(p) for p in parts.column("part").to_pylist()]
+        of = lambda k: np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.uint32)
         at = np.concatenate([np.cumsum(g[0]) for g in got]).astype(np.int64) if got else np.zeros(0, np.int64)
-        first = np.cumsum(counts) - counts
-        cols, held = [], np.zeros(0, np.int32)
+        # where in ``values`` each word's ids are: the model's, and then the best path where it is another
+        values, spans = np.concatenate([of(2), of(4)]).astype(np.int32), []
         begin, n = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        for k in (1, 3):
-            lens, values = (np.concatenate([g[k + j] for g in got]) if got else np.zeros(0, np.uint32) for j in (0, 1))
-            own_begin = len(held) + np.cumsum(lens.astype(np.int64)) - lens
-            held = values = np.concatenate([held, values.astype(np.int32)])
+        for lens, base in ((of(1).astype(np.int64), 0), (of(3).astype(np.int64), len(of(2)))):
             fresh = lens > 0
-            n[at[fresh]] = lens[fresh]
-            begin[at[fresh]] = own_begin[fresh]
-            out, sizes, lo = [], [], 0
-            while lo < len(counts):  # some 250,000 words at a time
-                hi = max(lo + 1, int(np.searchsorted(first, first[lo] + 250_000)))
-                mine = tokens[first[lo] : first[hi - 1] + counts[hi - 1]]
-                out.append(_spread(values, begin[mine], n[mine]))
+            begin[at[fresh]], n[at[fresh]] = (base + np.cumsum(lens) - lens)[fresh], lens[fresh]
+            spans.append((begin.copy(), n.copy()))
+        del got
+        first, out, lo = np.cumsum(counts) - counts, [], 0
+        while lo < len(counts):  # some 250,000 words at a time
+            hi = max(lo + 1, int(np.searchsorted(first, first[lo] + 250_000)))
+            mine, cols = tokens[first[lo] : first[hi - 1] + counts[hi - 1]], []
+            for begin, n in spans:
                 upto = np.concatenate([[0], np.cumsum(n[mine])])
-                sizes.append(upto[first[lo:hi] + counts[lo:hi] - first[lo]] - upto[first[lo:hi] - first[lo]])
-                lo = hi
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-            cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out))))
-        t = pa.table({"doc_id": own.column("doc_id").chunk(0).flatten(), "ids": cols[0], "viterbi_ids": cols[1], "source_md5": own.column("md5").chunk(0).flatten()})
-        return t.append_column("text", pa.array(_texts(cols[0], sent.value), pa.string())) if sent else t
+                offsets = np.append(upto[first[lo:hi] - first[lo]], upto[-1]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(_spread(values, begin[mine], n[mine]))))
+            names = ["doc_id", "ids", "viterbi_ids", "source_md5"]
+            b = pa.RecordBatch.from_arrays([doc_id.slice(lo, hi - lo), *cols, md5.slice(lo, hi - lo)], names=names)
+            out.append(b.append_column("text", pa.array(_texts(cols[0], sent.value), pa.string())) if sent else b)
+            lo = hi
+        return pa.Table.from_batches(out)
 
     return run
 
 
 def encode(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, unit_bytes: int = 16 << 20, words_a_task: int = 100_000, with_text: bool = False,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, unit_bytes: int = 16 << 20, chars_a_task: int = 5_000_000, with_text: bool = False,
 ) -> DataFrame:
     """doc_id, ids, viterbi_ids, source_md5 (of the text, marks read as spaces) of every row; and ``text``, decoded from ids, if asked for."""
     spark = docs.sparkSession
     ship(spark)
-    ws = Workspace(spark, "pieces")
     proto = open(model or default_model(), "rb").read()
     pieces = Pieces(proto)
     near = spark.sparkContext.broadcast(Neighbours([p for p, _, _ in pieces.rows]))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    units = ws.write(src.mapInArrow(_units(near, unit_bytes), _UNITS), "units")
-    asked = units.select("unit", F.posexplode("words").alias("at", "word"))
-    # a word's lattice is some hundred times its size, so tasks are cut by the number of words
-    tasks = max(1, -(-units.select(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] // words_a_task))
-    met = encode_asked(asked, pieces, spark.sparkContext.broadcast(proto), int(tasks))
+    # a word's lattice is some hundred times its size, so tasks are cut by the amount of text
+    tasks = max(2, -(-text_chars(src) // chars_a_task))
+    # units are shuffled once, and read from there by those who ask and by those who get the answers
+    units = src.mapInArrow(_units(near, unit_bytes), "unit long, payload binary").repartition("unit")
+    asked = units.mapInArrow(_asks, "unit long, at int, word string")
+    met = encode_asked(asked, pieces, spark.sparkContext.broadcast(proto), tasks)
     parts = met.mapInArrow(_answers(), "unit long, part binary")
-    own = units.select("unit", "doc_id", "n", "md5", "tokens")
     sent = spark.sparkContext.broadcast(pieces.raw) if with_text else None
-    return own.groupBy("unit").cogroup(parts.groupBy("unit")).applyInArrow(_finish(sent), _ENCODED + ", text string" * with_text)
+    return units.groupBy("unit").cogroup(parts.groupBy("unit")).applyInArrow(_finish(sent), _ENCODED + ", text string" * with_text)
 
 
 def _decode(sent, ids_col: str, out: str):
