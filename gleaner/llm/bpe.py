@@ -35,13 +35,14 @@ def _byte_chars() -> dict[str, int]:
 
 
 class WordBpe:
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: str):
+        """``vocabulary`` is the text of the vocabulary's file."""
         import regex
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        spec = json.load(open(path, encoding="utf-8"))
+        self.library = Tokenizer.from_str(vocabulary)
+        spec = json.loads(vocabulary)
         special = {t["id"] for t in spec["added_tokens"]}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self.pattern = regex.compile(split)

@@ -6,23 +6,26 @@ marks. A text whose cells are not all marked is certainly unique and passes stra
 others are grouped by their SHA-256, so false positives of the filter cost a shuffled row and never
 change a result.
 
-Bounds: what is broadcast is one bitmap of at most ``max_bits`` (32 MB by default). Beyond about
-``max_bits / 8`` texts the bitmap would mark nearly everything; then it is skipped and all digests
-(some 60 bytes a text, never the texts) are grouped.
+Bounds: what is broadcast is one bitmap of at most ``max_bits`` (32 MB by default). Where the rows need a larger
+filter, digests are dealt into slices by their own value, and the two passes run slice after slice, each with a
+bitmap of its own: the method and its memory stay the same for any number of rows.
 
 Defined cases: a null text counts as empty, and so equals every empty or all-blank text; empty
 tables give empty results; extra columns are ignored by ``exact_groups`` and kept by
-``exact_dedup``; rows that repeat a doc_id share one fate, and a null doc_id sorts after all others.
+``exact_dedup``; rows are judged each by its own text, whatever their ids; of rows equal in text, length and id one stays in
+``exact_dedup``; a null doc_id sorts after all others.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.llm.common import Workspace, chunked, ship, table
 
@@ -30,15 +33,18 @@ _BLANKS = b" \t\n\x0b\x0c\r"
 _SEG_BITS = 1 << 19  # one segment of the filter: 64 KB as bits
 
 
-def _digest(batches):
-    for b in chunked(batches, 2048):
-        texts = b.column(1).to_pylist()
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        sha = [hashlib.sha256(r.translate(None, _BLANKS)).digest() for r in raw]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(sha, pa.binary()), pa.array([len(t or "") for t in texts], pa.int64())],
-            names=["doc_id", "sha", "n_points"],
-        )
+def _digests_of(texts: list[str | None]) -> tuple[list[bytes], list[int]]:
+    return [hashlib.sha256((t or "").encode("utf-8", "surrogatepass").translate(None, _BLANKS)).digest() for t in texts], [len(t or "") for t in texts]
+
+
+def _digest(slices: int):
+    def run(batches):
+        for b in chunked(batches, 2048):
+            sha, n = _digests_of(b.column(1).to_pylist())
+            part = [int.from_bytes(s[24:28], "big") * slices >> 32 for s in sha]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary()), pa.array(n, pa.int64()), pa.array(part, pa.int32())], names=["doc_id", "sha", "n_points", "slice"])
+
+    return run
 
 
 def _cells(sha: list[bytes], bits: int, k: int = 3) -> np.ndarray:
@@ -78,17 +84,54 @@ def _mark(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     return pa.table({"seg": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([bits], pa.binary())})
 
 
+def _hits(sha: list[bytes], bits: int, marks: bytes) -> np.ndarray:
+    c, m = _cells(sha, bits), np.frombuffer(marks, np.uint8)
+    return ((m[(c >> np.uint64(3)).astype(np.int64)] >> (7 - (c & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1)
+
+
 def _test(bits: int, marks):
     def run(batches):
-        m = np.frombuffer(marks.value, np.uint8)
         for b in chunked(batches, 65536):
-            c = _cells(b.column("sha").to_pylist(), bits)
-            hit = ((m[(c >> np.uint64(3)).astype(np.int64)] >> (7 - (c & np.uint64(7))).astype(np.uint8)) & 1).all(axis=1)
-            yield b.append_column("maybe", pa.array(hit))
+            yield b.append_column("maybe", pa.array(_hits(b.column("sha").to_pylist(), bits, marks.value)))
 
     return run
 
 
+_DIGESTS = "doc_id long, sha binary, n_points long, slice int"
+
+
+def _tested(src: DataFrame, ws: Workspace, bits_per_text: int, max_bits: int) -> DataFrame:
+    """doc_id, sha, n_points, maybe of every row of ``src`` (doc_id, text)."""
+    spark = src.sparkSession
+    n = src.count()
+    slices = max(1, -(-n * bits_per_text // max_bits))
+    bits = max(_SEG_BITS, -(-n * bits_per_text // slices // _SEG_BITS) * _SEG_BITS)
+    digests, path = src.mapInArrow(_digest(slices), _DIGESTS), f"{ws.base}/tested"
+    if slices > 1:  # a folder a slice, so that each round reads its own only
+        digests.write.partitionBy("slice").parquet(f"{ws.base}/digests")
+        digests = spark.read.schema(_DIGESTS).parquet(f"{ws.base}/digests").select("doc_id", "sha", "n_points", "slice")
+    else:
+        digests = ws.write(digests, "digests")
+    for k in range(slices):
+        own = digests.where(F.col("slice") == k)
+        marks = bytearray(bits // 8)
+        segs = own.select("sha").mapInArrow(_emit_cells(bits), "seg long, cells binary")
+        for r in segs.groupBy("seg").applyInArrow(_mark, "seg long, bits binary").toLocalIterator():
+            marks[r["seg"] * _SEG_BITS // 8 : (r["seg"] + 1) * _SEG_BITS // 8] = r["bits"]
+        sent = spark.sparkContext.broadcast(bytes(marks))
+        own.mapInArrow(_test(bits, sent), _DIGESTS + ", maybe boolean").write.mode("append").parquet(path)
+        sent.destroy()
+    ws.drop("digests")
+    return spark.read.schema(_DIGESTS + ", maybe boolean").parquet(path)
+
+
+def _groups(tested: DataFrame, ws: Workspace) -> DataFrame:
+    """sha, keep_id, keep_points, group_size of digests that several rows have."""
+    best = F.max_by(F.struct("doc_id", "n_points"), F.struct("n_points", F.coalesce(-F.col("doc_id"), F.lit(-(2**63) + 1))))
+    groups = tested.where("maybe").groupBy("sha").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    return ws.write(groups.select("sha", F.col("best.doc_id").alias("keep_id"), F.col("best.n_points").alias("keep_points"), "group_size"), "groups")
+
+
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_text: int = 16, max_bits: int = 1 << 28
 ) -> DataFrame:
@@ -97,58 +140,59 @@ def exact_groups(
     Texts are equal when equal after deleting white space ([\\x20\\x09-\\x0d]); the one with the most
     code points, then the smallest id, stays.
     """
-    spark: SparkSession = docs.sparkSession
-    ship(spark)
-    ws = Workspace(spark, "exact")
+    ship(docs.sparkSession)
+    ws = Workspace(docs.sparkSession, "exact")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    digests = ws.write(src.mapInArrow(_digest, "doc_id long, sha binary, n_points long"), "digests")
-    n = digests.count()
-    bits = max(_SEG_BITS, -(-n * bits_per_text // _SEG_BITS) * _SEG_BITS)
-    if bits <= 2 * max_bits:
-        bits = min(bits, max_bits)
-        marks = bytearray(bits // 8)
-        segs = digests.select("sha").mapInArrow(_emit_cells(bits), "seg long, cells binary")
-        for r in segs.groupBy("seg").applyInArrow(_mark, "seg long, bits binary").toLocalIterator():
-            marks[r["seg"] * _SEG_BITS // 8 : (r["seg"] + 1) * _SEG_BITS // 8] = r["bits"]
-        sent = spark.sparkContext.broadcast(bytes(marks))
-        tested = digests.mapInArrow(_test(bits, sent), "doc_id long, sha binary, n_points long, maybe boolean")
-        tested = ws.write(tested, "tested")
-        ws.drop("digests")
-    else:
-        tested = digests.withColumn("maybe", F.lit(True))
-    maybe = tested.where("maybe")
-    best = F.max_by(
-        "doc_id", F.struct("n_points", F.coalesce(-F.col("doc_id"), F.lit(-(2**63) + 1)))
-    )
-    groups = maybe.groupBy("sha").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = ws.write(groups.where("group_size > 1"), "groups")
+    tested = _tested(src, ws, bits_per_text, max_bits)
     # groups are few against the rows; Spark broadcasts them only under its size threshold and else
     # sort-merges, where it splits the partition of a very large group
-    found = maybe.join(groups, "sha", "left").select(
+    lone = F.col("group_size").isNull()
+    found = tested.where("maybe").join(_groups(tested, ws), "sha", "left").select(
         "doc_id",
-        F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(lone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        (lone | F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
-    lone = tested.where("not maybe").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lower(F.hex("sha")).alias("text_sha256")
-    )
-    return lone.unionByName(found).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
+    unique = tested.where("not maybe").select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
+    return unique.unionByName(found)
+
+
+def _with_digest(text_col: str, sha_col: str, n_col: str):
+    def run(batches):
+        for b in chunked(batches, 2048):
+            sha, n = _digests_of(b.column(text_col).to_pylist())
+            yield b.append_column(sha_col, pa.array(sha, pa.binary())).append_column(n_col, pa.array(n, pa.int64()))
+
+    return run
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_text: int = 16, max_bits: int = 1 << 28) -> DataFrame:
     """``docs`` without the rows whose text equals that of a row that stays (see ``exact_groups``).
 
-    Of rows that repeat both id and text one stays.
+    Only digests that repeat are joined; rows are judged by their own digest, never by their id.
     """
-    ws = Workspace(docs.sparkSession, "exact-drop")
-    groups = ws.write(exact_groups(docs, id_col, text_col), "groups")
-    gone = groups.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
-    twice = groups.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return out if twice.isEmpty() else out.dropDuplicates([id_col, text_col])
+    spark = docs.sparkSession
+    ship(spark)
+    ws, end = Workspace(spark, "exact-drop"), uuid.uuid4().hex[:8]
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    tested = _tested(src, ws, bits_per_text, max_bits)
+    groups = _groups(tested, ws)
+    # rows that tie in text, length and id with the one that stays
+    ties = tested.where("maybe").join(groups, "sha").where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points")))
+    ties = ties.groupBy("sha").agg((F.count(F.lit(1)) > 1).alias("tie"))
+    sha, n, keep, points, tie = (f"_{x}_{end}" for x in ("sha", "n", "keep", "points", "tie"))
+    named = groups.join(ties, "sha").select(F.col("sha").alias(sha), F.col("keep_id").alias(keep), F.col("keep_points").alias(points), F.col("tie").alias(tie))
+    named = ws.write(named, "named")
+    rows = docs.mapInArrow(_with_digest(text_col, sha, n), T.StructType([*docs.schema.fields, T.StructField(sha, T.BinaryType()), T.StructField(n, T.LongType())]))
+    stays = F.col(id_col).cast("long").eqNullSafe(F.col(keep)) & (F.col(n) == F.col(points))
+    kept = rows.join(named, sha, "left").where(F.col(points).isNull() | stays)
+    if named.where(F.col(tie)).isEmpty():
+        return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.where(F.col(tie)).dropDuplicates([sha])
+    return kept.where(F.coalesce(~F.col(tie), F.lit(True))).unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

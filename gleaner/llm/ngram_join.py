@@ -23,6 +23,7 @@ empty results.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -369,10 +370,21 @@ def _components(spark, ws: Workspace, units: DataFrame, classes: DataFrame, band
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document (the smallest id) of each component."""
-    linked = link_components(docs, width, percent, id_col, text_col)
-    gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """``docs`` with one row (the smallest id, null ids last) of each component.
+
+    Where ids repeat or are null, rows are numbered and linked by number, so that each row is judged by its own text.
+    """
+    again = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) | F.col(id_col).isNull())
+    if again.isEmpty():
+        linked = link_components(docs, width, percent, id_col, text_col)
+        gone = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    ws, row = Workspace(docs.sparkSession, "near"), "_row_" + uuid.uuid4().hex[:8]
+    rows = ws.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    linked = link_components(rows, width, percent, row, text_col)
+    ids = rows.select(F.col(row).alias("doc_id"), F.col(id_col).alias("id"))
+    best = linked.join(ids, "doc_id").groupBy("component_id").agg(F.min_by("doc_id", F.struct(F.col("id").isNull(), "id", "doc_id")).alias(row))
+    return rows.join(best.select(row), row, "left_semi").drop(row)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,6 @@ columns are ignored; rows that repeat a doc_id are packed each on its own.
 from __future__ import annotations
 
 import bisect
-import os
 import zlib
 from collections import defaultdict
 
@@ -38,17 +37,19 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _encoder(path: str):
+def _encoder(sent):
+    """The encoder of a broadcast vocabulary file (its text), once a Python worker."""
     from gleaner.llm.bpe import WordBpe
 
-    if path not in _encoders:
-        _encoders[path] = WordBpe(path if os.path.exists(path) else default_vocabulary())
-    return _encoders[path]
+    key = hash(sent.value)
+    if key not in _encoders:
+        _encoders[key] = WordBpe(sent.value)
+    return _encoders[key]
 
 
-def _cut(path: str, size: int, sep: int, keep_ids: bool):
+def _cut(sent, size: int, sep: int, keep_ids: bool):
     def pieces(ids_, texts):
-        flat, counts = _encoder(path).encode(texts)
+        flat, counts = _encoder(sent).encode(texts)
         at, rows = 0, []
         for doc, n in zip(ids_, counts.tolist()):
             own = np.append(flat[at : at + n], np.uint32(sep)).astype("<u4")
@@ -139,10 +140,11 @@ def pack(
     spark: SparkSession = docs.sparkSession
     ship(spark)
     ws = Workspace(spark, "pack")
-    path = vocabulary or default_vocabulary()
+    # a file of fixed size; executors need not have it
+    sent = spark.sparkContext.broadcast(open(vocabulary or default_vocabulary(), encoding="utf-8").read())
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids
-    pieces = ws.write(src.mapInArrow(_cut(path, size, separator, keep_ids), schema), "pieces")
+    pieces = ws.write(src.mapInArrow(_cut(sent, size, separator, keep_ids), schema), "pieces")
     # at most ``size`` lengths: the only thing the driver gathers
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = np.array(sorted(plan_slots(counts, size)) or np.zeros((0, 5)), np.int64)

@@ -7,7 +7,7 @@ document's logit and so to one probability. Training back-propagates through all
 
 Bounds: at most ``max_docs`` labelled texts train, lowest id hashes first and as many of each label as
 there are, of at most ``max_bytes`` altogether and a 32nd of that each (texts stay whole; others are left
-out of training). The
+out of training; texts are taken in the order of hashes). The
 broadcast model has some 6,000 numbers. Every whole text is scored, chunk by chunk, in bounded memory.
 
 Defined cases: null and empty texts have one chunk of padding and so get one fixed score; without labels
@@ -178,13 +178,13 @@ def score(
     # at most max_docs ids: a proven bound, so they are broadcast
     found = src.join(F.broadcast(picked), "doc_id").where(F.length("text") <= max_bytes // 32)
     rows, size = [], 0
-    for r in found.toLocalIterator():
+    # in the order of hashes, so that neither files nor partitions decide who trains
+    for r in found.orderBy(*order, "text").limit(2 * max_docs).toLocalIterator():
         raw = _raw(r["text"])
         size += len(raw)
         if size > max_bytes:
             break
-        rows.append((raw, r["y"], r["doc_id"]))
-    rows.sort(key=lambda r: r[2])
+        rows.append((raw, r["y"]))
     y = np.array([r[1] for r in rows], float)
     if len(rows) and 0 < y.mean() < 1:
         sent = spark.sparkContext.broadcast(fit([r[0] for r in rows], y))

@@ -24,6 +24,7 @@ smaller than all others.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -174,6 +175,16 @@ def _answer_windows(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     return pa.table({"unit": t.column("unit"), "bucket": t.column("bucket"), "kind": pa.array([1] * len(parts), pa.int32()), "mask": pa.array([U.bits(p) for p in parts], pa.binary())})
 
 
+def _without(raw: bytes, drop: np.ndarray) -> bytes:
+    """A text without its dropped words and the white space after each; all other white space stays."""
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", raw)]
+    out, at = [], 0
+    for k in np.flatnonzero(drop).tolist():
+        out.append(raw[at : spans[k][0]] if at < spans[k][0] else b"")
+        at = spans[k + 1][0] if k + 1 < len(spans) else len(raw)
+    return b"".join(out) + raw[at:]
+
+
 def _finish(buckets: int, buckets2: int, id_col: str, text_col: str, schema: pa.Schema, with_rows: bool):
     def run(key: tuple[pa.Scalar, ...], own: pa.Table, masks: pa.Table) -> pa.Table:
         if not own.num_rows:
@@ -189,20 +200,20 @@ def _finish(buckets: int, buckets2: int, id_col: str, text_col: str, schema: pa.
         np.add.at(cover, gone + WINDOW, -1)
         drop = np.cumsum(cover[:-1]) > 0 if len(u.words) else np.zeros(0, bool)
         removed = np.bincount(u.doc[drop], minlength=len(u.counts))
+        if with_rows:
+            old = u.table.column(text_col).to_pylist()
+            text = [_without(r, drop[s : s + n]).decode("utf-8", "surrogatepass") if k else t for r, t, k, s, n in zip(u.raw, old, removed, u.starts, u.counts)]
+            return u.table.set_column(u.table.schema.get_field_index(text_col), text_col, pa.array(text, pa.string())).cast(schema)
         kept = []
         for i, raw in enumerate(u.raw):
             w = raw.split()
             if removed[i]:
                 w = np.array(w, object)[~drop[u.starts[i] : u.starts[i] + u.counts[i]]].tolist()
             kept.append(b" ".join(w))
-        if not with_rows:
-            return pa.table({
-                "doc_id": u.table.column(id_col), "n_words": pa.array(u.counts), "n_removed": pa.array(removed.astype(np.int64)),
-                "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
-            }).cast(schema)
-        old = u.table.column(text_col).to_pylist()
-        text = [k.decode("utf-8", "surrogatepass") if r else t for k, r, t in zip(kept, removed, old)]
-        return u.table.set_column(u.table.schema.get_field_index(text_col), text_col, pa.array(text, pa.string())).cast(schema)
+        return pa.table({
+            "doc_id": u.table.column(id_col), "n_words": pa.array(u.counts), "n_removed": pa.array(removed.astype(np.int64)),
+            "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
+        }).cast(schema)
 
     return run
 
@@ -239,7 +250,7 @@ def substring_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the kept words, joined by one space, as text of each row that lost some."""
+    """``docs`` with the removed words, and the white space after each of them, cut out of the texts; the rest stays as it was."""
     return _run(docs, id_col, text_col, True)
 
 

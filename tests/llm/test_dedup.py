@@ -56,10 +56,33 @@ def test_exact_drop_keeps_columns_and_one_of_repeated_rows(spark):
     assert out.columns == df.columns and sorted((r["doc_id"] or 0, r["text"]) for r in out.collect() if r["text"]) == [(0, "b"), (1, "a")]
 
 
-def test_without_filter(spark, rows):
+def test_exact_drop_judges_rows_not_ids(spark):
+    rows = [(None, "zz"), (None, "q unique"), (5, "zz "), (0, "a"), (1, "a"), (1, "b unique"), (7, "k"), (7, "k "), (None, None), (8, ""), (9, "t"), (9, "t")]
+    got = sorted(((r["doc_id"], r["text"]) for r in exact_dedup.exact_dedup(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, "q unique"), (5, "zz "), (0, "a"), (1, "b unique"), (7, "k "), (8, ""), (9, "t")], key=str)
+
+
+def test_near_drop_judges_rows_not_ids(spark):
+    t = "one two three four five six seven eight nine ten"
+    rows = [(1, t), (1, "quite another text of its own with many words"), (None, t), (2, t + " "), (None, "yet something else that is not like it at all"), (3, None), (3, None)]
+    got = sorted(((r["doc_id"], r["text"]) for r in ngram_join.near_dedup(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([rows[0], rows[1], rows[4], rows[5], rows[6]], key=str)
+    assert ngram_join.near_dedup(frame(spark, [(1, t), (2, t), (3, "x")])).count() == 2
+
+
+def test_filter_in_slices(spark, rows):
     a = exact_dedup.exact_groups(frame(spark, rows)).toPandas().sort_values("doc_id")
-    b = exact_dedup.exact_groups(frame(spark, rows), max_bits=1).toPandas().sort_values("doc_id")
+    b = exact_dedup.exact_groups(frame(spark, rows), max_bits=1000).toPandas().sort_values("doc_id")
     assert a.reset_index(drop=True).equals(b.reset_index(drop=True))
+    c = exact_dedup.exact_dedup(frame(spark, rows), max_bits=1000)
+    assert {r["doc_id"] for r in c.collect()} == set(a[a["kept"]]["doc_id"])
+
+
+def test_cut_keeps_other_white_space(spark):
+    passage = " ".join(f"p{k}" for k in range(25))
+    rows = [(1, f"a\n\nb {passage}\nc"), (2, f"x\n\ny  z\t{passage}\n\nend\nof it"), (3, passage)]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "x\n\ny  z\tend\nof it", 3: ""}
 
 
 @pytest.mark.parametrize("width,percent", [(3, 90), (5, 80), (2, 60)])

@@ -2,6 +2,8 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from gleaner.llm import html_extract, packing, quality, toxicity, url_filter
 from gleaner.llm.embedding_dedup import _join, near_vectors
@@ -28,7 +30,7 @@ def test_packing_plan_places_every_rank_once():
 def test_packing_rows(spark):
     texts = ["Hello World", None, "", "it's 42 ÄÖ", "word " * 5000, "a\x01b <|endoftext|>", "Hello World"]
     df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, length int")
-    lib = packing._encoder(packing.default_vocabulary()).library
+    lib = Tokenizer.from_file(packing.default_vocabulary())
     rows = packing.pack(df, keep_ids=True).collect()
     for i, t in enumerate(texts):
         ids = lib.encode(t or "", add_special_tokens=False).ids + [0]
@@ -71,8 +73,6 @@ def test_html_region_is_the_scans():
     ],
 )
 def test_url_rules(spark, url, host, path, rule):
-    from pyspark.sql import functions as F
-
     h, p = url_filter.url_parts(F.col("url"))
     df = spark.createDataFrame([(url,)], "url string").withColumns({"h": h, "p": p})
     assert tuple(df.select("h", "p", url_filter.rule_of(F.col("h"), F.col("p"), url_filter.RULES)).first()) == (host, path, rule)
@@ -85,8 +85,6 @@ def test_url_verdicts(spark):
 
 
 def test_url_labels_need_more_than_one_feature(spark):
-    from pyspark.sql import functions as F
-
     host, path = url_filter.url_parts(F.col("url"))
     rows = url_filter.lexical(url_filter.seed_urls(spark).withColumns({"host": host, "path": path}))
     plain = [f for f in url_filter.FEATURES if not f.endswith("_rate")]
@@ -100,12 +98,23 @@ def test_url_labels_need_more_than_one_feature(spark):
     assert len(kinds) == 4 and min(kinds.values()) > 0.85  # hyphens or not, spam or clean
 
 
-def test_nnpu_learns():
+def test_nnpu_learns_whatever_the_partitions(spark):
     g = np.random.default_rng(0)
-    doc = lambda bad: np.unique(np.concatenate([g.integers(0, 500, 40), g.integers(1000, 1010, 3) if bad else []])).astype(np.uint64)
-    f, w, b = toxicity.fit([doc(True) for _ in range(80)], [doc(k % 5 == 0) for k in range(400)], 0.2)
-    score = lambda d: sum(w[np.searchsorted(f, x)] for x in d if x in f) + b
-    assert np.mean([score(doc(True)) > 0 for _ in range(50)]) > 0.9 and np.mean([score(doc(False)) < 0 for _ in range(50)]) > 0.9
+    bad = [k % 5 == 0 for k in range(600)]
+    text = lambda k: " ".join([f"w{i}" for i in g.integers(0, 500, 40)] + ([f"t{i}" for i in g.integers(0, 10, 3)] if bad[k] else []))
+    docs = spark.createDataFrame([(k, text(k)) for k in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(bad[k])) for k in range(600)], "doc_id long, toxic int")
+    one = {r["doc_id"]: r for r in toxicity.toxicity(docs.repartition(7), labels).collect()}
+    test = [r for r in one.values() if r["held_out"]]
+    assert np.mean([r["score"] > 0.5 for r in test if bad[r["doc_id"]]]) > 0.9 and np.mean([r["score"] < 0.5 for r in test if not bad[r["doc_id"]]]) > 0.9
+    two = {r["doc_id"]: r for r in toxicity.toxicity(docs.repartition(3, "text"), labels).collect()}
+    assert one == two
+    rows = spark.createDataFrame([(None, " ".join(f"t{i}" for i in range(10))), (4, " ".join(f"t{i}" for i in range(10))), (5, "w1 w2 w3")], docs.schema)
+    kept = {tuple(r) for r in toxicity.drop_toxic(docs.unionByName(rows), labels).collect()}
+    assert not {tuple(r) for r in rows.collect()[:2]} & kept and (5, "w1 w2 w3") in kept  # each row by its own text
+    many = spark.createDataFrame([(k, int(k % 2)) for k in range(600)], "doc_id long, quality int")
+    one, two = ({r["doc_id"]: r["score"] for r in quality.score(d, many, max_docs=40, max_bytes=6400).collect()} for d in (docs.repartition(7), docs.repartition(2, "text")))
+    assert one == two
 
 
 def test_scores_are_defined_everywhere(spark):
