@@ -114,7 +114,7 @@ def test_nnpu_learns_whatever_the_partitions(spark):
     assert not {tuple(r) for r in rows.collect()[:2]} & kept and (5, "w1 w2 w3") in kept  # each row by its own text
     many = spark.createDataFrame([(k, int(k % 2)) for k in range(600)], "doc_id long, quality int")
     one, two = ({r["doc_id"]: r["score"] for r in quality.score(d, many, max_docs=40, max_bytes=6400).collect()} for d in (docs.repartition(7), docs.repartition(2, "text")))
-    assert one == two
+    assert all(abs(one[k] - two[k]) < 1e-5 for k in one)  # the same model; batches round sums differently
 
 
 def test_scores_are_defined_everywhere(spark):
