@@ -3,18 +3,21 @@
 On unit vectors a cosine of at least c is a distance of at most r = sqrt(2-2c). Pivots cut the space into cells
 (each vector's home is its nearest pivot). By the triangle inequality a vector x can have partners
 at home in another cell only if it is near enough to the border between the two pivots: with p its own pivot and q the
-other, x.(p-q) <= r*|p-q| (and never beyond d(x,q) <= d(x,p) + 2r). Such vectors are copied to that
-cell, and each cell joins its own vectors with all that it holds, independently of the others. A cell's own vectors
-are dealt into blocks of bounded size, so a crowded cell is several tasks.
+other, x.(p-q) <= r*|p-q| (and never beyond d(x,q) <= d(x,p) + 2r). Of two cells one copies its border vectors to the other
+(which of them alternates), so a pair meets in one cell only, and cells join independently of each other.
 
-Equal vectors are one class with a weight, so copies cost nothing; cells put out a count and a
-component label for each of their own classes, never pairs. In many dimensions without structure nearly every
+A cell is a number of blocks of bounded size, its own vectors' and its copies'; a task joins one block with another, so neither
+a crowded cell nor a popular border grows a task. Pivots grow with the vectors, as far as ``most_bytes`` of them
+can be broadcast; beyond that cells have more blocks.
+
+Equal vectors are one class with a weight, so copies cost nothing; tiles put out a count and a
+component label for each of their classes with links, never pairs. In many dimensions without structure nearly every
 vector is near every border: the join is then close to all pairs in blocks, which is inherent to an
-exact answer; the number of cells is chosen so that copying stays small.
+exact answer, and the rows sent grow with the square of the vectors over the size of a block.
 
 Defined cases: vectors that are null, empty, zero, or hold nulls or non-finite numbers link with nothing;
 vectors of different lengths link with nothing but vectors of their own length; rows that repeat an id are one
-vertex, counted by rows; rows without id link with nothing; extra columns are ignored.
+vertex, counted by rows; rows without id link with nothing; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,47 +55,52 @@ def _normal(batches):
 
 
 def _home(pivots, radius: float):
-    """Each vector's own cell, and the cells that it is copied to."""
+    """Each vector's own cell, and the cells that it is copied to. Lengths without pivots are a cell each."""
 
     def run(batches):
         by_dim = pivots.value
         for b in chunked(batches, 2048):
-            out = []
-            for row, (dim, raw) in enumerate(zip(b.column("dim").to_pylist(), b.column("u").to_pylist())):
-                out.append((row, dim, raw))
+            dims, raws = np.array(b.column("dim").to_pylist()), b.column("u").to_pylist()
             rows, cells, own = [], [], []
-            for dim in {d for _, d, _ in out}:
-                mine = [(r, raw) for r, d, raw in out if d == dim]
-                x = np.frombuffer(b"".join(raw for _, raw in mine)).reshape(-1, dim)
+            for dim in np.unique(dims).tolist():
+                mine = np.flatnonzero(dims == dim)
+                if dim not in by_dim:
+                    rows.append(mine)
+                    cells.append(np.full(len(mine), -dim))
+                    own.append(np.ones(len(mine), bool))
+                    continue
+                x = np.frombuffer(b"".join(raws[r] for r in mine)).reshape(-1, dim)
                 first, p = by_dim[dim]
-                s = x @ p.T
+                s, here = x @ p.T, np.arange(len(x))
                 home = s.argmax(axis=1)
-                gap = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))  # |p - q|
-                near = s[np.arange(len(x)), home][:, None] - s <= radius * gap[home] + _SLACK
-                near[np.arange(len(x)), home] = True
+                gap = np.sqrt(np.maximum(2 - 2 * (p[home] @ p.T), 0))  # |p - q|
+                near = s[here, home][:, None] - s <= radius * gap + _SLACK
+                other = np.arange(len(p))
+                near &= (home[:, None] < other) == ((home[:, None] + other) % 2 == 0)  # one way between two cells
+                near[here, home] = True
                 i, j = np.nonzero(near)
-                rows.append(np.array([r for r, _ in mine])[i])
+                rows.append(mine[i])
                 cells.append(first + j)
                 own.append(j == home[i])
             rows, cells, own = np.concatenate(rows), np.concatenate(cells), np.concatenate(own)
-            t = b.take(pa.array(rows))
-            yield t.append_column("cell", pa.array(cells.astype(np.int64))).append_column("own", pa.array(own))
+            yield b.take(pa.array(rows)).append_column("cell", pa.array(cells.astype(np.int64))).append_column("own", pa.array(own))
 
     return run
 
 
-def _join(cosine: float, bar: float):
+def _tile(cosine: float, bar: float):
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        """Own vectors of one block against all that the cell holds."""
+        """Counts and labels of the classes of two blocks that have links between them; ``key`` ends with the two blocks."""
+        none = pa.table({"v": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "label": pa.array([], pa.int64())})
         if not left.num_rows or not right.num_rows:
-            return pa.table({"v": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "label": pa.array([], pa.int64())})
+            return none
+        same = key[1].as_py() == key[2].as_py()  # a block with itself: each pair is seen from both sides
         read = lambda t: np.frombuffer(b"".join(t.column("u").to_pylist())).reshape(t.num_rows, -1)
         x, y = read(left), read(right)
-        vx, vy, w = left.column("v").to_numpy(), right.column("v").to_numpy(), right.column("weight").to_numpy()
-        n = np.zeros(len(x), np.int64)
-        # union-find over the block's own vectors and all they touch, by smallest label
-        label_y = vy.copy()
-        label_x = vx.copy()
+        vx, vy = left.column("v").to_numpy(), right.column("v").to_numpy()
+        wx, wy = left.column("weight").to_numpy(), right.column("weight").to_numpy()
+        n_x, n_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        label_x, label_y = vx.copy(), vy.copy()
         x32, y32 = x.astype(np.float32), y.astype(np.float32)
         hits = []
         for lo in range(0, len(x), 256):
@@ -105,31 +113,33 @@ def _join(cosine: float, bar: float):
                     ok[tight] = np.einsum("ij,ij->i", x[lo + i[tight]], y[j[tight]]) >= cosine
                     i, j = i[ok], j[ok]
                 i = i + lo
-                n += np.bincount(i, np.where(vx[i] == vy[j], 0, w[j]), len(x)).astype(np.int64)
-                hits.append((i, j))
-                np.minimum.at(label_x, i, label_y[j])
-                np.minimum.at(label_y, j, label_x[i])
-        while hits:  # labels sink until they rest: the links themselves are not put out
-            was = label_x.copy()
+                other = vx[i] != vy[j]
+                i, j = i[other], j[other]
+                n_x += np.bincount(i, wy[j], len(x)).astype(np.int64)
+                if not same:
+                    n_y += np.bincount(j, wx[i], len(y)).astype(np.int64)
+                if len(i):
+                    hits.append((i, j))
+        if not hits:
+            return none
+        while True:  # labels sink until they rest: the links themselves are not put out
+            was_x, was_y = label_x.copy(), label_y.copy()
             for i, j in hits:
                 np.minimum.at(label_x, i, label_y[j])
                 np.minimum.at(label_y, j, label_x[i])
-            if (was == label_x).all():
+            if (was_x == label_x).all() and (was_y == label_y).all():
                 break
-        touched = np.unique(np.concatenate([j for _, j in hits])) if hits else np.zeros(0, np.int64)
-        far = touched[label_y[touched] != vy[touched]]
-        return pa.table({
-            "v": pa.array(np.concatenate([vx, vy[far]])), "n": pa.array(np.concatenate([n, np.zeros(len(far), np.int64)])),
-            "label": pa.array(np.concatenate([label_x, label_y[far]])),
-        })
+        on_x, on_y = np.unique(np.concatenate([i for i, _ in hits])), np.unique(np.concatenate([j for _, j in hits]))
+        parts = ((vx, n_x, label_x, on_x), (vy, n_y, label_y, on_y))
+        return pa.table({name: pa.array(np.concatenate([part[k][part[3]] for part in parts])) for k, name in enumerate(("v", "n", "label"))})
 
     return run
 
 
 def near_vectors(
-    table_: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", per_cell: int = 4096, most_pivots: int = 64, block: int = 1024,
+    table_: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", block_bytes: int = 8 << 20, most_bytes: int = 64 << 20,
 ) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row."""
+    """vec_id, n_links, component_id, kept of every row; ``block_bytes`` of doubles make a block, and a cell is meant to have about one of its own."""
     spark: SparkSession = table_.sparkSession
     ship(spark)
     ws = Workspace(spark, "vectors")
@@ -140,36 +150,40 @@ def near_vectors(
     classes = live.groupBy("dim", "mark").agg(F.min("vec_id").alias("v"), F.count(F.lit(1)).alias("weight"), F.first("u").alias("u"))
     classes = ws.write(classes, "classes")
     out = units.join(classes.select("dim", "mark", "v", "weight"), ["dim", "mark"], "left").select("vec_id", "v", "weight")
-    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
-    if not sizes:
-        return out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    # pivots: classes of lowest hashes, a number bounded by most_pivots for each dimension
-    pivots, first = {}, 0
-    for dim, n in sorted(sizes.items()):
-        k = int(min(most_pivots, max(1, round(n / per_cell))))
-        rows = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("v"), "v").limit(k).select("u").collect()
-        pivots[dim] = (first, np.stack([np.frombuffer(r["u"]) for r in rows]))
-        first += k
+    # the commonest lengths get pivots; each rarer one is a cell of blocks
+    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(100).collect()}
+    pivots, first, room = {}, 0, most_bytes
+    for dim, n in sorted(sizes.items(), key=lambda kv: (-kv[1], kv[0])):
+        k = min(round(n * 8 * dim / block_bytes), room // (8 * dim))
+        if k > 1:
+            rows = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("v"), "v").limit(k).select("u").collect()
+            pivots[dim] = (first, np.stack([np.frombuffer(r["u"]) for r in rows]))
+            first, room = first + k, room - 8 * dim * k
     radius = float(np.sqrt(2 - 2 * cosine))
-    sent = spark.sparkContext.broadcast(pivots)
-    fields = "dim int, mark binary, v long, weight long, u binary"
-    placed = classes.select("dim", "mark", "v", "weight", "u").mapInArrow(_home(sent, radius), f"{fields}, cell long, own boolean").select("v", "weight", "u", "cell", "own")
-    placed = stored = ws.write(placed, "placed")
-    # blocks of a cell: its own vectors dealt by hash, everything in the cell sent to each block
-    crowd = placed.where("own").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = placed.join(F.broadcast(crowd), "cell")  # at most one row a pivot
-    own = placed.where("own").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    every = ws.again(stored, "placed").join(F.broadcast(crowd), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keep = ["cell", "block", "v", "weight", "u"]
-    joined = own.select(*keep).groupBy("cell", "block").cogroup(every.select(*keep).groupBy("cell", "block")).applyInArrow(
-        _join(cosine, cosine - 1e-4), "v long, n long, label long"
-    )
+    fields = "dim int, v long, weight long, u binary"
+    placed = classes.select("dim", "v", "weight", "u").mapInArrow(_home(spark.sparkContext.broadcast(pivots), radius), f"{fields}, cell long, own boolean")
+    placed = ws.write(placed, "placed")
+    # blocks of a cell: first its own vectors' (m), then its copies' (c), dealt by hash
+    per = F.lit(float(block_bytes)) / (8 * F.first("dim"))
+    blocks = lambda of: F.ceil(F.count_if(of) / per).cast("int")
+    crowd = placed.groupBy("cell").agg(blocks(F.col("own")).alias("m"), blocks(~F.col("own")).alias("c"))
+    crowd = ws.write(crowd, "crowd")
+    dealt = lambda n: F.pmod(F.xxhash64("v"), n).cast("int")
+    block = F.when(F.col("own"), dealt(F.col("m"))).otherwise(F.col("m") + dealt(F.col("c")))
+    held, again = (p.join(c, "cell").withColumn("block", block) for p, c in ((placed, crowd), (ws.again(placed, "placed"), ws.again(crowd, "crowd"))))
+    # tiles (i, j): i an own block, j the same or a later one
+    left = held.where("own").select("cell", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("m") + F.col("c") - 1)).alias("j"), "v", "weight", "u")
+    upto = F.least(F.col("block"), F.col("m") - 1)
+    right = again.where("m > 0").select("cell", F.explode(F.sequence(F.lit(0), upto)).alias("i"), F.col("block").alias("j"), "v", "weight", "u")
+    keys = ("cell", "i", "j")
+    joined = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_tile(cosine, cosine - 1e-4), "v long, n long, label long")
     joined = ws.write(joined, "joined")
+    ws.drop("placed")
     links = joined.groupBy("v").agg(F.sum("n").alias("n"))
     comp = components(joined.where("v <> label").select(F.col("v").alias("a"), F.col("label").alias("b")), ws)
     out = out.join(links, "v", "left").join(comp, "v", "left")
-    component = F.coalesce("c", "v", "vec_id")
-    n_links = F.when(F.col("v").isNull(), F.lit(0)).otherwise(F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("long")
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("c", "v", "vec_id"))
+    n_links = F.when(F.col("v").isNull() | F.col("vec_id").isNull(), F.lit(0)).otherwise(F.coalesce("n", F.lit(0)) + F.col("weight") - 1).cast("long")
     return out.select("vec_id", n_links.alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 

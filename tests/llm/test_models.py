@@ -1,12 +1,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gleaner.llm import html_extract, packing, quality, toxicity, url_filter
-from gleaner.llm.embedding_dedup import _join, near_vectors
+from gleaner.llm.embedding_dedup import _tile, near_vectors
 
 
 def test_packing_plan_places_every_rank_once():
@@ -136,29 +137,43 @@ def test_cnn_learns_and_parts_agree():
     assert abs(quality.predict(m, [long])[0] - quality._long(m, long, quality.HOP * 7)) < 1e-5
 
 
-def test_vectors(spark):
-    g = np.random.default_rng(2)
-    x = g.normal(size=(60, 8))
-    x[10:20] = x[0] + g.normal(size=(10, 8)) * 0.05
-    x[20] = x[0]
-    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(60, None, 0), (61, [], 0), (62, [0.0] * 8, 0), (63, [float("nan")] * 8, 0), (64, [1.0, None], 0)]
+def brute_vectors(x, cosine=0.95):
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    near = u @ u.T >= 0.95
-    got = {r["vec_id"]: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, v int"), per_cell=10).collect()}
-    label = list(range(60))
-    for _ in range(60):
-        label = [min(label[j] for j in np.flatnonzero(near[i])) for i in range(60)]
-    for i in range(60):
-        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (near[i].sum() - 1, label[i], label[i] == i)
-    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(60, 65))
+    near = u @ u.T >= cosine
+    label, was = np.arange(len(x)), None
+    while was is None or (was != label).any():
+        was = label
+        label = np.array([label[np.flatnonzero(r)].min() for r in near])
+        label = label[label]
+    return near.sum(1) - 1, label
 
 
-def test_long_chain_is_one_component():
-    import pyarrow as pa
+@pytest.mark.parametrize("block_bytes", [640, 6400, 8 << 20])
+def test_vectors(spark, block_bytes):
+    g = np.random.default_rng(2)
+    x = g.normal(size=(400, 8))
+    x[10:60] = x[0] + g.normal(size=(50, 8)) * 0.05  # a crowd
+    x[60] = x[0]
+    plane = np.deg2rad(15 * g.permutation(120))[:, None]  # a chain round a plane, ids in no order
+    x[100:220] = np.cos(plane) * np.eye(8)[0] + np.sin(plane) * np.eye(8)[1] + np.arange(120)[:, None] * 1e-9
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(400, None, 0), (401, [], 0), (402, [0.0] * 8, 0), (403, [float("nan")] * 8, 0), (404, [1.0, None], 0)]
+    got = {r["vec_id"]: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, v int"), block_bytes=block_bytes).collect()}
+    n, label = brute_vectors(x)
+    assert {i: (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) for i in range(400)} == {i: (n[i], label[i], label[i] == i) for i in range(400)}
+    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(400, 405))
+
 
+def test_vectors_of_many_lengths_and_none(spark):
+    df = spark.createDataFrame([(i, [1.0] * (1 + i // 2)) for i in range(2100)] + [(0, [1.0]), (None, [1.0])], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in near_vectors(df, block_bytes=80_000).collect()}
+    assert all(got[i]["component_id"] == i - i % 2 and got[i]["n_links"] == (2 if i < 2 else 1) for i in range(2100)) and got[None]["n_links"] == 0
+    assert near_vectors(df.where("false")).count() == 0
+
+
+def test_long_chain_is_one_component():
     n = 1000
     x = (np.eye(n, n + 1) + np.eye(n, n + 1, 1)) / np.sqrt(2)  # neighbours have cosine 0.5, others 0
     ids = [2 * min(k, n - 1 - k) + (k >= n // 2) for k in range(n)]  # two basins, which meet in the middle
     t = pa.table({"v": pa.array(ids, pa.int64()), "weight": pa.array([1] * n, pa.int64()), "u": [v.tobytes() for v in x]})
-    out = _join(0.45, 0.4499)((), t, t)
+    out = _tile(0.45, 0.4499)((pa.scalar(0), pa.scalar(0), pa.scalar(0)), t, t)
     assert set(out.column("label").to_pylist()) == {0} and set(out.column("v").to_pylist()) == set(ids)
