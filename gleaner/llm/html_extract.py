@@ -2,11 +2,15 @@
 
 A page is read as a sequence of tokens: words and tags. A word scores by the element it stands in
 (positive in running text, negative in links outside of it), a tag scores
-negative; the weights are log-odds learned from labelled pages. Elements that are boilerplate by name,
-class or role (scripts, menus, forms, adverts, comments ...) count nothing and are cut out. One linear
+negative; the weights are log-odds learned from labelled pages. One linear
 scan (the classic largest-sum scan) finds the contiguous region with the largest total: the article,
 which is put out block by block.
 
+Inside it, what HTML itself marks as no text (scripts, nav, form, footer, hidden ...) is cut out. Names (words of classes and ids) are
+evidence with learned weights too: they add up over the open elements, and text whose evidence is at or below ``_CUT`` counts
+nothing. Names that usually mean boilerplate start at a prior, which labelled pages can turn. If names leave no region at
+all (an article in a badly named element), the scan runs once more without them.
+
 ``fit_weights`` learns from pages whose main region is known. Pages that mark it themselves (an
 ``article`` or ``main`` element) are such pages, and serve as labelled pages by default: at most
 ``max_pages`` of them, lowest id hashes first. Each (element, in link) context has a weight; contexts
@@ -40,10 +44,9 @@ _BLOCK = {
 }
 _BOILER_TAGS = {"nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "fieldset", "label", "input", "head", "header"}
 _BOILER_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|disqus|replies|reply|respond|sidebar|side-bar|widget|menu|nav\w*|breadcrumbs?|"
+    r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|disqus|replies|reply|respond|sidebar|side-bar|widget|menu|nav\w*|breadcrumbs?|"
     r"footer|header|masthead|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|"
-    r"recommend\w*|pagination|pager|toolbar|login|search|copyright|disclaimer|toc|skip|hidden)(?:$|[\s_-])",
-    re.I,
+    r"recommend\w*|pagination|pager|toolbar|login|search|copyright|disclaimer|toc|skip|hidden)"
 )
 _BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 _MAIN = {"article", "main"}
@@ -55,30 +58,48 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACES = re.compile(r"\s+")
+_WORDS = re.compile(r"[^a-z0-9]+")
+_NAME_PRIOR, _CUT = -3.0, -2.0
 _PRIOR = {"text": 1.0, "link": -0.5, "tag": -0.6}
 
 
-def _boiler(tag: str, attrs: str, inside_main: bool) -> bool:
-    if tag in _BOILER_TAGS and not (tag == "header" and inside_main):
-        return True
-    if not attrs:
-        return False
+def _names(tag: str, attrs: str) -> tuple[list[str], bool]:
+    """Words of an element's class and id; whether its role or attributes make it no text."""
+    names, no_text = [], False
     for name, a, b, c in _ATTR.findall(attrs):
-        value = a or b or c
-        name = name.lower()
-        if name in ("class", "id") and tag not in ("body", "html", *_MAIN) and _BOILER_WORDS.search(value):
-            return True
-        if name == "role" and value.lower() in _BOILER_ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
-
-
-def tokens(page: str):
-    """(kind, context, text, boiler, main) of a page: kind "tag", "block" (a block starts or ends) or "text"."""
-    stack: list[tuple[str, bool, bool]] = []  # (tag, boilerplate here, inside main)
-    at, n, raw = 0, len(page), None
+        value, name = a or b or c, name.lower()
+        if name in ("class", "id"):
+            if tag not in ("body", "html", *_MAIN):
+                names += [w for w in _WORDS.split(value.lower()) if w]
+        elif name == "role":
+            no_text |= value.lower() in _BOILER_ROLES
+        else:
+            no_text |= name == "hidden" or name == "aria-hidden" and value.lower() == "true"
+    return names[:64], no_text
+
+
+_OUTSIDE = ("", False, False, "", "", 0.0, ())
+
+
+def tokens(page: str, weights: dict[str, float] | None = None):
+    """(kind, context, text, boiler, main, names) of a page: kind "tag", "block" (a block starts or ends) or "text".
+
+    ``names`` are those of the open elements (at most 64). An open element keeps what holds inside it, so that reading
+    is linear whatever the depth.
+    """
+    # (tag, boilerplate, inside main, nearest block, "a:" in a link, evidence of names, names)
+    stack: list[tuple] = []
+    open_, at, n, raw = Counter(), 0, len(page), None
+    weigh = weights.get if weights is not None else None
+
+    def here():
+        _, boiler, main, block, link, evidence, names = stack[-1] if stack else _OUTSIDE
+        return link + block, boiler or evidence <= _CUT, main, names
+
+    def drop(k: int) -> None:
+        open_.subtract(t[0] for t in stack[k:])
+        del stack[k:]
+
     while at < n:
         if raw:  # inside an element of raw text: only its end tag ends it
             m = re.compile(rf"</{raw}[\s/>]", re.I).search(page, at)
@@ -87,61 +108,67 @@ def tokens(page: str):
         m = _TOKEN.search(page, at)
         stop = m.start() if m else n
         if stop > at:
-            boiler, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            yield "text", _context(stack), page[at:stop], boiler, main
+            context, boiler, main, names = here()
+            yield "text", context, page[at:stop], boiler, main, names
         if not m:
             return
         at = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             if m["cdata"]:
-                boiler, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                yield "text", _context(stack), m["cdata"], boiler, main
+                context, boiler, main, names = here()
+                yield "text", context, m["cdata"], boiler, main, names
             continue
         if m["end"] or m["end2"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    # an end tag of an inline element does not close blocks around it
-                    if tag in _BLOCK or not any(t in _BLOCK for t, _, _ in stack[k + 1 :]):
-                        del stack[k:]
-                    break
-            yield ("block" if tag in _BLOCK else "tag"), tag, "", *((stack[-1][1], stack[-1][2]) if stack else (False, False))
+            if open_[tag] > 0:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == tag:
+                        drop(k)
+                        break
+                    if tag not in _BLOCK and stack[k][0] in _BLOCK:
+                        break  # an end tag of an inline element does not close blocks around it
+            _, boiler, main, names = here()
+            yield ("block" if tag in _BLOCK else "tag"), tag, "", boiler, main, names
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
         if tag in _CLOSES_P:
-            _close_implied(stack, tag)
-        boiler, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        main_here = main or tag in _MAIN or 'role="main"' in attrs
-        boiler_here = boiler or _boiler(tag, attrs, main_here)
-        yield ("block" if tag in _BLOCK else "tag"), tag, "", boiler_here, main_here
+            k = _implied(stack, tag, open_)
+            if k is not None:
+                drop(k)
+        _, boiler, main, block, link, evidence, names = stack[-1] if stack else _OUTSIDE
+        own, no_text = _names(tag, attrs) if attrs else ([], False)
+        main = main or tag in _MAIN or 'role="main"' in attrs
+        boiler = boiler or no_text or (tag in _BOILER_TAGS and not (tag == "header" and main))
+        if own:
+            names = names if len(names) >= 64 else (*names, *own)
+            if weigh:
+                evidence = max(-4.0, min(1.0, evidence + sum(weigh(f"name:{w}", _prior(w)) for w in own)))
+        block, link = (tag, "") if tag in _BLOCK else (block, "a:" if tag == "a" else link)
+        yield ("block" if tag in _BLOCK else "tag"), tag, "", boiler or evidence <= _CUT, main, names
         if tag in _RAW:
             if not attrs.rstrip().endswith("/"):
                 raw = tag
         elif tag not in _VOID and not (attrs.endswith("/") and tag not in _BLOCK):
-            stack.append((tag, boiler_here, main_here))
+            stack.append((tag, boiler, main, block, link, evidence, names))
+            open_[tag] += 1
 
 
-def _close_implied(stack: list, tag: str) -> None:
-    """What a block's start ends by itself: an open paragraph, list item, cell."""
+def _implied(stack: list, tag: str, open_: Counter) -> int | None:
+    """From where on a block's start ends open elements by itself: an open paragraph, list item, cell."""
     ends = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}.get(tag, set()) | {"p"}
+    if not any(open_[t] > 0 for t in ends):
+        return None
     stop = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "main", "nav", "aside", "footer", "header", "form"}
     for k in range(len(stack) - 1, -1, -1):
         if stack[k][0] in ends:
-            del stack[k:]
-            return
+            return k
         if stack[k][0] in stop:
-            return
+            return None
+    return None
 
 
-def _context(stack: list) -> str:
-    """The nearest block element and whether a link is open inside it."""
-    link = ""
-    for tag, _, _ in reversed(stack):
-        if tag == "a":
-            link = "a:"
-        elif tag in _BLOCK:
-            return link + tag
-    return link
+def _prior(name: str) -> float:
+    return _NAME_PRIOR if _BOILER_WORDS.fullmatch(name) else 0.0
 
 
 def _weight(weights: dict[str, float], kind: str, context: str) -> float:
@@ -156,20 +183,13 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     """The page's main text: blocks in page order, joined by an empty line."""
     if not page:
         return ""
-    seq = list(tokens(page))
-    # the scan: best sum ending here, best sum so far
-    best, best_lo, best_hi, now, lo = 0.0, 0, 0, 0.0, 0
-    for i, (kind, context, text, boiler, _) in enumerate(seq):
-        if boiler:  # cut out below in any case, so an advert within the article does not end it
-            continue
-        w = _weight(weights, "text" if kind == "text" else "tag", context)
-        now += w * len(text.split()) if kind == "text" else w
-        if now <= 0:
-            now, lo = 0.0, i + 1
-        elif now > best:
-            best, best_lo, best_hi = now, lo, i + 1
+    seq = list(tokens(page, weights))
+    lo, hi = _region(seq, weights)
+    if lo == hi:
+        seq = list(tokens(page))
+        lo, hi = _region(seq, weights)
     blocks, own = [], []
-    for kind, context, text, boiler, _ in seq[best_lo:best_hi]:
+    for kind, context, text, boiler, *_ in seq[lo:hi]:
         if kind == "text":
             if not boiler:
                 own.append(text)
@@ -183,24 +203,51 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     return "\n\n".join(b for b in out if b)
 
 
+def _region(seq: list, weights: dict[str, float]) -> tuple[int, int]:
+    """The scan: best sum ending here, best sum so far."""
+    best, best_lo, best_hi, now, lo = 0.0, 0, 0, 0.0, 0
+    for i, (kind, context, text, boiler, *_) in enumerate(seq):
+        if boiler:  # cut out in any case, so an advert within the article does not end it
+            continue
+        w = _weight(weights, "text" if kind == "text" else "tag", context)
+        now += w * len(text.split()) if kind == "text" else w
+        if now <= 0:
+            now, lo = 0.0, i + 1
+        elif now > best:
+            best, best_lo, best_hi = now, lo, i + 1
+    return best_lo, best_hi
+
+
 def fit_counts(page: str | None) -> Counter:
     """Of a labelled page: words and tags of each context inside (1) and outside (0) the main region.
 
     A page whose only marked elements are boilerplate (teasers, comments) does not mark its main region: no counts.
     """
     c: Counter = Counter()
-    if page and any(main and not boiler for *_, boiler, main in tokens(page)):
-        for kind, context, text, boiler, main in tokens(page):
-            if not boiler:
-                c[f"{'text' if kind == 'text' else 'tag'}:{context}", int(main)] += len(text.split()) if kind == "text" else 1
+    prior = lambda names: all(_prior(w) == 0 for w in names)
+    seq = list(tokens(page)) if page else []
+    if any(main and not boiler and prior(names) for *_, boiler, main, names in seq):
+        for kind, context, text, boiler, main, names in seq:
+            if boiler:
+                continue
+            size = len(text.split()) if kind == "text" else 1
+            if kind == "text":
+                for w in set(names):
+                    c[f"name:{w}", int(main)] += size
+            if prior(names):
+                c[f"{'text' if kind == 'text' else 'tag'}:{context}", int(main)] += size
     return c
 
 
 def weights_of(counts: Counter, smooth: float = 5.0) -> dict[str, float]:
-    """Log-odds of a context's words for the main region; tags are costs, never gains."""
+    """Log-odds of a context's words for the main region; tags are costs, never gains; names start at their prior."""
     out = {}
     for key in {k for k, _ in counts}:
         a, b = counts[key, 1], counts[key, 0]
+        if key.startswith("name:"):
+            half = math.exp(_prior(key[5:]) / 2)
+            out[key] = max(-4.0, min(1.0, math.log((a + 4 * smooth * half) / (b + 4 * smooth / half))))
+            continue
         odds = math.log((a + smooth) / (b + smooth))
         out[key] = max(-4.0, min(2.0, odds)) if key.startswith("text:") else max(-1.0, min(-0.1, odds))
     return out
@@ -224,7 +271,7 @@ def fit_weights(pages: DataFrame, max_pages: int = 2000) -> dict[str, float]:
     share = F.xxhash64("page_id")
     few = marked.select("page_id").orderBy(share, "page_id").limit(max_pages)
     rows = pages.join(F.broadcast(few), "page_id", "left_semi").select("html").mapInArrow(_count_pages, "key string, inside int, n long")
-    # contexts are pairs of element names: a bounded vocabulary
+    # contexts and names that at most ``max_pages`` pages hold; the 2,000 commonest have weights, the others their priors
     top = rows.groupBy("key", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key", "inside").limit(2000)
     return weights_of(Counter({(r["key"], r["inside"]): r["n"] for r in top.collect()}))
 

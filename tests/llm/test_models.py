@@ -65,6 +65,53 @@ def test_html_region_is_the_scans():
     assert not html_extract.fit_counts(f"<body><p>{body[0]}</p>{teaser}</body>")
 
 
+def test_html_names_are_evidence():
+    body = "One two three four five six seven.", "Eight nine ten eleven twelve thirteen."
+    paras = "".join(f"<p>{p}</p>" for p in body)
+    main = f"<body><main><article>{paras}</article><div><a href=1>Other story</a><a href=2>Yet another one</a></div></main><footer>End</footer></body>"
+    assert html_extract.extract(main, {}) == "\n\n".join(body)  # teasers of the same main are no part of it
+    for mark in ('class="post search-results"', 'id="share-price-report"'):
+        assert html_extract.extract(f"<body><nav><a href=1>Home</a></nav><div {mark}>{paras}</div><footer>End</footer></body>", {}) == "\n\n".join(body)
+    ad = "<div class=promo-box>Buy this now, friends</div>"
+    assert html_extract.extract(f"<body><div><p>{body[0]}</p>{ad}<p>{body[1]}</p></div></body>", {}) == "\n\n".join(body)
+    taught = html_extract.weights_of(html_extract.fit_counts(f"<body><div class=zork>{'Outside words here. ' * 60}</div><article>{paras * 5}</article></body>"))
+    assert taught["name:zork"] <= html_extract._CUT
+    assert html_extract.extract(f"<body><div><p>{body[0]}</p><div class=zork>Some text here</div><p>{body[1]}</p></div></body>", taught) == "\n\n".join(body)
+
+
+def test_html_deep_nesting_is_linear():
+    import time
+
+    began = time.perf_counter()
+    assert html_extract.extract("<p>" + "<b>x " * 100_000, {}).count("x") == 100_000
+    assert html_extract.extract("<div>" * 50_000 + "word here" + "</i>" * 50_000, {}) == "word here"
+    assert time.perf_counter() - began < 20
+
+
+def test_html_held_out_pages():
+    """Articles of pages whose article element is renamed, so that nothing marks them."""
+    import random
+
+    rng = random.Random(3)
+    words = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(n)).capitalize() + "."
+
+    def page(tag):
+        paras = [words(rng.randrange(5, 60)) for _ in range(rng.randrange(1, 9))]
+        nav = "".join(f"<li><a href=/{k}>{words(1)}</a></li>" for k in range(6))
+        side = f"<div class=sidebar><ul><li><a href=/s>{words(4)}</a></li></ul></div>" if rng.random() < 0.5 else ""
+        return f"<body><nav><ul>{nav}</ul></nav><div class=ad>{words(9)}</div><{tag}><h1>{words(4)}</h1>{''.join(f'<p>{p}</p>' for p in paras)}</{tag}>{side}<footer>{words(12)}</footer></body>", paras
+
+    total = sum((html_extract.fit_counts(page("article")[0]) for _ in range(60)), html_extract.Counter())
+    w, hit, got, want = html_extract.weights_of(total), 0, 0, 0
+    for _ in range(60):
+        html, paras = page("div")
+        out = html_extract.extract(html, w).split()
+        true = " ".join(paras).split()
+        hit, got, want = hit + min(len(out), len(true)), got + len(out), want + len(true)
+        assert all(p in html_extract.extract(html, w) for p in paras)
+    assert 2 * hit / (got + want) > 0.95
+
+
 @pytest.mark.parametrize(
     "url,host,path,rule",
     [
