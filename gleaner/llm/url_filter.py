@@ -10,7 +10,8 @@ The trees learn from labelled urls (``url``, ``label`` 1 = block), which the cal
 this repository's data labels urls, so the default is ``seed_urls``: 2,000 generated urls of plain and
 of spam-like hosts, of words and shapes of their own and not after the tables. Kinds overlap on purpose:
 hyphens, digits, suffixes, depth and parameters are in both, some clean hosts hold a spam word and some
-spam hosts none, so no feature alone parts them. ``held_out`` counts the trees' verdicts on other such urls. Urls that a rule decides are no good labels: rules go by path and country, not by
+spam hosts none, so no feature alone parts them. Half of the labels are 1, which urls in the wild are not: scores are turned to
+an expected share of ``SHARE``. ``held_out`` counts the trees' verdicts on other such urls. Urls that a rule decides are no good labels: rules go by path and country, not by
 the look of a url.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, fits no rule and is judged
@@ -20,6 +21,8 @@ kinds nothing is blocked by the trees; clashing extra columns are not carried.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +33,15 @@ RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block
 
 #: Words of the generated labelled urls, by subject: medicines, gambling, credit, adult, copies, get-rich.
 SPAM_WORDS = [
-    "viagra", "cialis", "pills", "steroid", "poker", "slots", "jackpot", "roulette", "payday", "loan", "lender", "debt", "xxx", "hookup", "escort",
-    "webcam", "replica", "cheap", "outlet", "knockoff", "crypto", "profit", "miracle", "slimming",
+    "viagra", "cialis", "pharma", "steroid", "poker", "slots", "jackpot", "roulette", "payday", "loan", "lender", "debt", "xxx", "hookup", "escort",
+    "webcam", "replica", "discount", "outlet", "knockoff", "crypto", "profit", "miracle", "slimming",
 ]
 PLAIN_WORDS = [
     "news", "wiki", "docs", "garden", "music", "school", "river", "paper", "cook", "travel", "stone", "light", "museum", "library", "bridge",
     "weather", "chess", "bakery", "history", "physics", "bicycle", "forest", "harbor", "theatre",
 ]
-#: Names without meaning are put together from these.
-SYLLABLES = ["ba", "ko", "ri", "mel", "ton", "su", "vin", "dra", "pe", "lo", "zan", "qui", "fer", "mu", "ost", "el", "nar", "gi", "hu", "bri", "sca", "wen", "ty", "jo"]
+#: Names without meaning are put together from these letters, by how common they are.
+LETTERS = "eeeeeettttaaaaooooiiinnnssshhrrddllcumwfgypbvkxjqz"
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -61,6 +64,9 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return out
 
 
+#: Expected share of urls to block. Labels are half and half; odds are turned from that to this.
+SHARE = 0.25
+
 FEATURES = ["len", "host_len", "depth", "labels", "digits", "digit_ratio", "hyphens", "entropy", "params", "query_len", "fragment", "has_ext", "vowel_ratio", "suffix_rate", "gram_rate"]
 
 
@@ -106,15 +112,17 @@ def seed_urls(spark: SparkSession, n: int = 2000, start: int = 0) -> DataFrame:
     bad, part = F.col("id") % 2 == 1, pick(1, 10)
     kind = F.when(bad, F.when(part < 3, "two spam words").when(part < 8, "one spam word").otherwise("plain words")).otherwise(F.when(part < 9, "plain words").otherwise("one spam word"))
     messy, tidy = bad & (kind == "plain words"), ~bad & (kind == "one spam word")
-    # half of the plain words are invented names, whose letters training rarely meets
-    plain = lambda k: F.when(pick(k + 90, 2) == 0, of(PLAIN_WORDS, k)).otherwise(F.concat(of(SYLLABLES, k + 100), of(SYLLABLES, k + 110), of(SYLLABLES, k + 120)))
+    # half of the plain words are invented names of 3 to 9 letters, in whatever order these fall
+    letters = F.split(F.lit(LETTERS), "")
+    name = lambda k: F.array_join(F.transform(F.sequence(F.lit(0), pick(k + 100, 7) + 2), lambda i: F.get(letters, F.pmod(F.xxhash64("id", F.lit(k + 110), i), F.lit(len(LETTERS))).cast("int"))), "")
+    plain = lambda k: F.when(pick(k + 90, 2) == 0, of(PLAIN_WORDS, k)).otherwise(name(k))
     odds = lambda k, spam, clean: pick(k, 100) < F.when(messy, 95).when(tidy, 5).when(bad, spam).otherwise(clean)
 
     first = F.when(kind == "plain words", plain(2)).otherwise(of(SPAM_WORDS, 3))
     second = F.when(kind == "two spam words", of(SPAM_WORDS, 4)).otherwise(plain(5))
     swap = pick(6, 2) == 0
     joint = F.when(pick(7, 2) == 0, "-").otherwise("")
-    name = F.concat(F.when(swap, second).otherwise(first), joint, F.when(swap, first).otherwise(second), F.when(odds(8, 45, 20), pick(9, 9999).cast("string")).otherwise(""))
+    label = F.concat(F.when(swap, second).otherwise(first), joint, F.when(swap, first).otherwise(second), F.when(odds(8, 45, 20), pick(9, 9999).cast("string")).otherwise(""))
     sub = of(["", "", "www.", "en.", "static.", "shop.city."], 10)
     suffix = F.when(odds(11, 50, 15), of(["info", "biz", "xyz", "top", "com"], 12)).otherwise(of(["com", "org", "net", "de", "edu", "info"], 13))
     step = lambda k: F.when(odds(k, 40, 30), F.concat(F.lit("/"), pick(k + 1, 999999).cast("string"))).otherwise(F.concat(F.lit("/"), of(PLAIN_WORDS, k + 1)))
@@ -122,7 +130,7 @@ def seed_urls(spark: SparkSession, n: int = 2000, start: int = 0) -> DataFrame:
     param = lambda k: F.concat(of(["id", "q", "sort", "from", "sid", "lang"], k), F.lit("="), F.when(odds(k + 1, 50, 30), F.hex(pick(k + 2, 1 << 40))).otherwise(of(PLAIN_WORDS, k + 2)))
     params = F.when(odds(40, 50, 35), F.concat(F.lit("?"), param(50), F.when(odds(41, 50, 30), F.concat(F.lit("&"), param(60), F.lit("&"), param(70))).otherwise(""))).otherwise("")
     scheme, mark = of(["http://", "https://"], 80), of(["", "", "", "", "#part"], 81)
-    url = F.concat(scheme, sub, name, F.lit("."), suffix, path, params, mark)
+    url = F.concat(scheme, sub, label, F.lit("."), suffix, path, params, mark)
     return spark.range(start, start + n).select(url.alias("url"), bad.cast("int").alias("label"), kind.alias("kind"))
 
 
@@ -172,7 +180,7 @@ def _with_rates(df: DataFrame, rates) -> DataFrame:
 
 
 def train(labelled: DataFrame, ws: Workspace, trees: int = 12, depth: int = 4):
-    """Fits the trees; returns (rates, SQL of the margin) or None if a kind of label is missing."""
+    """Fits the trees; returns (rates, SQL of the margin, share of label 1) or None if a kind of label is missing."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
@@ -187,14 +195,17 @@ def train(labelled: DataFrame, ws: Workspace, trees: int = 12, depth: int = 4):
     sql = " + ".join(
         f"{float(w)!r}D * ({_tree_sql(t._call_java('rootNode'), FEATURES)})" for t, w in zip(model.trees, model.treeWeights)
     )
-    return rates, sql
+    return rates, sql, rows.agg(F.avg("label")).first()[0]
 
 
 def filter_urls(
     pages: DataFrame, rules: dict[str, str] | None = None, labelled: DataFrame | None = None,
-    id_col: str = "page_id", url_col: str = "url",
+    id_col: str = "page_id", url_col: str = "url", share: float = SHARE,
 ) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, score (the trees' share for block)."""
+    """One row per page: page_id, host, path, rule, verdict, score (the trees' share for block).
+
+    ``share`` is the share of urls to block that is expected where the verdicts are given.
+    """
     rules = RULES if rules is None else rules
     spark = pages.sparkSession
     ws = Workspace(spark, "urls")
@@ -205,7 +216,8 @@ def filter_urls(
     parts = src.withColumns({"host": host, "path": path})
     parts = parts.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     if fitted:
-        scored = _with_rates(lexical(parts), fitted[0]).withColumn("score", 1 / (1 + F.exp(-2 * F.expr(fitted[1]))))
+        prior = math.log(share / (1 - share)) - math.log(fitted[2] / (1 - fitted[2]))
+        scored = _with_rates(lexical(parts), fitted[0]).withColumn("score", 1 / (1 + F.exp(-2 * F.expr(fitted[1]) - F.lit(prior))))
     else:
         scored = parts.withColumn("score", F.lit(0.0))
     verdict = F.when(F.col("score") > 0.5, "block").otherwise("allow")
