@@ -140,7 +140,7 @@ def _runs(texts: list[str], near: Neighbours, size: int = 1 << 19):
 
 def split(texts: list[str], near: Neighbours) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Of marked texts: their distinct words, the index of each word of all texts, and each text's number of words."""
-    hashes, strings, index, counts, base = [], [], [], np.zeros(len(texts), np.int64), 0
+    hashes, strings, heads, index, counts, base = [], [], [], [], np.zeros(len(texts), np.int64), 0
     for lo, hi, run in _runs(texts, near):
         if not run:
             continue
@@ -153,6 +153,8 @@ def split(texts: list[str], near: Neighbours) -> tuple[list[str], np.ndarray, np
         counts[lo:hi] += np.diff(np.searchsorted(at, bounds), prepend=0)
         h, first, inverse = np.unique(W.hash_values(W._mix(codes.astype(np.uint64) + np.uint64(77)), at, end), return_index=True, return_inverse=True)
         hashes.append(h)
+        lead = np.append(codes, np.zeros(5, codes.dtype)).astype(np.uint64) & np.uint64(0xFFF)
+        heads.append(sum(np.where(at[first] + k < end[first], lead[at[first] + k], np.uint64(0)) << np.uint64(12 * (4 - k)) for k in range(5)))
         strings += [run[a:b] for a, b in zip(at[first].tolist(), end[first].tolist())]
         index.append((inverse + base).astype(np.uint32))
         base += len(h)
@@ -160,8 +162,8 @@ def split(texts: list[str], near: Neighbours) -> tuple[list[str], np.ndarray, np
         return [], np.zeros(0, np.uint32), counts
     _, first, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
     index = inverse.astype(np.uint32)[np.concatenate(index)]
-    # frequent words get low indexes, which pack well
-    by = np.argsort(-np.bincount(index, minlength=len(first)), kind="stable")
+    # frequent words get low indexes, and those of equal frequency lie in order of their first characters: both pack well
+    by = np.lexsort((np.concatenate(heads)[first], -np.bincount(index, minlength=len(first))))
     rank = np.empty(len(by), np.uint32)
     rank[by] = np.arange(len(by), dtype=np.uint32)
     return [strings[i] for i in first[by].tolist()], rank[index], counts
