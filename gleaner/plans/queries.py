@@ -234,7 +234,7 @@ def photo_hash(spark, sf_dir):
     return _table(spark, sf_dir, "part").select("p_partkey", image.dhash(pixels).alias("dhash"))
 
 
-@query(f"SELECT doc_id, {_FP.format('text')} AS fp FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, {_FP.format('text')} AS fp FROM documents")
 def fingerprints(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("fp"))
 
@@ -309,13 +309,10 @@ def detail_pages(spark, sf_dir):
     return out.select("page_id", "title", "price_text", "location_text", F.size("text_lines").alias("n_lines"), "visible_text")
 
 
-_DETAIL_ITEMS = "item_no % 3 = 0"
-
-
 def _merge_sql() -> str:
     card = O.scored()
     detail = O.scored(replace(Settings(), aggressiveness="strict", block_all=("liquidation",)))
-    return f"SELECT c.item_no, greatest(c.score, coalesce(d.score, 0)) AS score, CASE WHEN d.score > c.score THEN d.action ELSE c.action END AS action, coalesce(d.score > c.score, false) AS from_details FROM (WITH {card} SELECT * FROM s) c LEFT JOIN (WITH {detail} SELECT * FROM s WHERE {_DETAIL_ITEMS}) d ON c.item_no = d.item_no"
+    return f"SELECT c.item_no, greatest(c.score, coalesce(d.score, 0)) AS score, CASE WHEN d.score > c.score THEN d.action ELSE c.action END AS action, coalesce(d.score > c.score, false) AS from_details FROM (WITH {card} SELECT * FROM s) c LEFT JOIN (WITH {detail} SELECT * FROM s) d ON c.item_no = d.item_no"
 
 
 @query(_merge_sql())
@@ -395,7 +392,7 @@ _OUTCOME = "CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'verdict'
 _NOW = "TIMESTAMP '2024-01-10 00:00:00'"
 
 
-@query(f"SELECT event_id, (epoch_us({_NOW}) - epoch_us(ts)) < CAST(1000000 AS BIGINT) * CASE {_OUTCOME} WHEN 'verdict' THEN 21600 WHEN 'error' THEN 60 ELSE 1800 END AS fresh FROM events WHERE ts <= {_NOW}")
+@query(f"SELECT event_id, (epoch_us({_NOW}) - epoch_us(ts)) < CAST(1000000 AS BIGINT) * CASE {_OUTCOME} WHEN 'verdict' THEN 21600 WHEN 'error' THEN 60 ELSE 1800 END AS fresh FROM events")
 def ttl_freshness(spark, sf_dir):
     cache = _table(spark, sf_dir, "events").selectExpr("event_id", f"{_OUTCOME} AS outcome", "CAST(ts AS TIMESTAMP) AS fetched_at")
     return schedule.freshness(cache, F.expr(_NOW)).select("event_id", "fresh")
