@@ -174,7 +174,7 @@ def _squeeze(*arrays: np.ndarray) -> bytes:
     raw = [np.array([len(a) for a in arrays], "<u4").tobytes()]
     raw += [np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays]
     raw = b"".join(raw)
-    return len(raw).to_bytes(8, "little") + len(arrays).to_bytes(1, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + len(arrays).to_bytes(1, "little") + pa.Codec("zstd", 7).compress(raw, asbytes=True)
 
 
 def _unsqueeze(raw: bytes) -> list[np.ndarray]:
@@ -516,7 +516,7 @@ def _finish(sent):
 
 
 def encode(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, unit_bytes: int = 16 << 20, chars_a_task: int = 5_000_000, with_text: bool = False,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, unit_bytes: int = 20 << 20, chars_a_task: int = 5_000_000, with_text: bool = False,
 ) -> DataFrame:
     """doc_id, ids, viterbi_ids, source_md5 (of the text, marks read as spaces) of every row; and ``text``, decoded from ids, if asked for."""
     spark = docs.sparkSession
