@@ -70,6 +70,7 @@ class Pieces:
         self.scores = [_UNKNOWN] + [of.get(i, _UNKNOWN) for i in range(n)]
         rank = {s: k for k, s in enumerate(sorted(set(self.scores), reverse=True))}
         self.ranks = [rank[s] for s in self.scores]
+        self.in_order = in_order(self.rows, self.ranks)
         self.raw = [b"" if sp.is_control(i) else sp.id_to_piece(i).encode() for i in range(n)]
         for b, i in enumerate(self.bytes):
             self.raw[i] = bytes([b])
@@ -265,39 +266,63 @@ def _constant(values: list, kind: str) -> Column:
 
 
 def viterbi_fold(edges: Column, scores: list[float]) -> Column:
-    """Codes along the path of the highest sum: best sum and path to each place, edge after edge in order of their ends.
+    """Codes along the path of the highest sum, edge after edge in order of their ends; then back from the end.
 
-    ``scores`` are by id + 1.
+    ``scores`` are by id + 1. The state is the best sum and the last edge of each place before ``e``, and of ``e`` so far.
     """
-    kind = "struct<sum:double,path:array<bigint>>"
-    way = lambda total, path: F.struct(total.alias("sum"), path.alias("path"))
-    state = lambda done, e, now: F.struct(done.alias("done"), e.alias("e"), now.alias("now"))
     table_ = _constant(scores, "double")
+    names = ("sums", "back", "e", "sum", "code")
+    state = lambda *values: F.struct(*[v.alias(n) for v, n in zip(values, names)])
 
     def step(st: Column, x: Column) -> Column:
-        """``done`` has the places before ``e``, ``now`` the best way to ``e`` so far."""
-        same = st["e"] == x["e"]
-        to = lambda before: (before["sum"] + x["score"], F.concat(before["path"], x["code"]))
-        here, past = F.get(st["done"], x["s"]), F.concat(st["done"], F.array(st["now"]))
+        same, total = st["e"] == x["e"], F.get(st["sums"], x["s"]) + x["score"]
+        fresh = F.when(x["s"] == st["e"], st["sum"] + x["score"]).otherwise(total)
         return (
-            F.when(same & (here["sum"] + x["score"] <= st["now"]["sum"]), st)
-            .when(same, state(st["done"], x["e"], way(*to(here))))
-            .otherwise(state(past, x["e"], F.when(x["s"] == st["e"], way(*to(st["now"]))).otherwise(way(*to(here)))))
+            F.when(same & (total <= st["sum"]), st)
+            .when(same, state(st["sums"], st["back"], st["e"], total, x["code"]))
+            .otherwise(state(F.concat(st["sums"], F.array(st["sum"])), F.concat(st["back"], F.array(st["code"])), x["e"], fresh, x["code"]))
         )
 
-    start = state(F.array().cast(f"array<{kind}>"), F.lit(0), way(F.lit(0.0), F.array().cast("array<bigint>"))).cast(f"struct<done:array<{kind}>,e:int,now:{kind}>")
-    read = F.transform(edges, lambda x: F.struct(_end(x).alias("e"), _start(x).alias("s"), F.get(table_, _piece(x)).alias("score"), F.array(x).alias("code")))
-    return F.aggregate(read, start, step, lambda st: st["now"]["path"])
+    def back(st: Column) -> Column:
+        start = F.struct(st["e"].alias("at"), F.array().cast("array<bigint>").alias("path"))
+        way = lambda p, c: F.when(_end(c) == p["at"], F.struct(_start(c).alias("at"), F.concat(F.array(c), p["path"]).alias("path"))).otherwise(p)
+        # the first place has no edge; its 0 ends at 0, where the walk stops
+        return F.aggregate(F.reverse(F.concat(F.slice(st["back"], F.lit(2), F.size(st["back"])), F.array(st["code"]))), start, way, lambda p: p["path"])
+
+    start = state(F.array(), F.array(), F.lit(0), F.lit(0.0), F.lit(0)).cast("struct<sums:array<double>,back:array<bigint>,e:int,sum:double,code:bigint>")
+    read = F.transform(edges, lambda x: F.struct(_end(x).alias("e"), _start(x).alias("s"), F.get(table_, _piece(x)).alias("score"), x.alias("code")))
+    return F.aggregate(read, start, step, back)
 
 
 def _bit(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k)
 
 
-def merge_fold(edges: Column, ranks: list[int]) -> Column:
+def in_order(pieces: list[tuple[str, int, float]], ranks: list[int]) -> bool:
+    """Whether every piece comes from two parts of better scores, so that merging never opens a better merge.
+
+    A piece's parts are the same in every word: what lies around it has no say while its own characters merge. So merging
+    each piece by itself shows the parts. A piece that is never made by merging counts for nothing.
+    """
+    rank = {p: ranks[i + 1] for p, i, _ in pieces}
+    for whole, own in rank.items():
+        parts = list(whole)
+        while len(parts) > 2:
+            best = min(((rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in rank), default=None)
+            if best is None or best[0] == own:
+                break
+            i = best[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        if len(parts) == 2 and own <= max((rank[x] for x in parts if len(x) > 1), default=-1):
+            return False
+    return True
+
+
+def merge_fold(edges: Column, ranks: list[int], once: bool = False) -> Column:
     """Codes that a BPE model leaves: the best-scored edge over two neighbours merges them, leftmost first, until none can.
 
-    ``ranks`` are by id + 1, 0 for the best score. The state is a bit for each border that stands.
+    ``ranks`` are by id + 1, 0 for the best score. The state is a bit for each border that stands. With ``once``
+    (see ``in_order``) each edge is tried one time, best first, which is the same.
     """
     rank = _constant(ranks, "bigint")
     masks = lambda s, e: (_bit(s).bitwiseOR(_bit(e)), _bit(e) - _bit(s) * 2)  # noqa: E731  ends; places between them
@@ -318,6 +343,10 @@ def merge_fold(edges: Column, ranks: list[int]) -> Column:
             # the sign tells that nothing merges any more
             return F.when(borders < 0, borders).otherwise(F.coalesce(borders.bitwiseAND(F.bitwise_not(inner)), borders.bitwiseOR(F.lit(-(2**63)))))
 
+        def try_one(borders: Column, m: Column) -> Column:
+            fits = (borders.bitwiseAND(m["outer"]) == m["outer"]) & (F.bit_count(borders.bitwiseAND(m["inner"])) == 1)
+            return F.when(fits, borders.bitwiseAND(F.bitwise_not(m["inner"]))).otherwise(borders)
+
         def standing(borders: Column) -> Column:
             def stands(x: Column) -> Column:
                 outer, inner = masks(_start(x), _end(x))
@@ -325,7 +354,7 @@ def merge_fold(edges: Column, ranks: list[int]) -> Column:
 
             return F.filter(edges, stands)
 
-        return F.aggregate(steps, _bit(n + 1) - 1, step, standing)
+        return F.aggregate(merges if once else steps, _bit(n + 1) - 1, try_one if once else step, standing)
 
     # a lambda's variable is computed once, a column might be put into every step
     return F.get(F.transform(F.array(F.transform(order, with_masks)), fold), F.lit(0))
@@ -390,7 +419,8 @@ def encode_short(words: DataFrame, pieces: Pieces) -> DataFrame:
     """word, ids, viterbi_ids of distinct ``word`` rows of at most ``LONG`` characters, where they are."""
     rows = words.sparkSession.createDataFrame(pieces.rows, "piece string, id int, score double")
     found = lattice(words, rows, pieces.longest)
-    folded = found.select("word", merge_fold(F.col("edges"), pieces.ranks).alias("merged"), viterbi_fold(F.col("edges"), pieces.scores).alias("best"))
+    merged = merge_fold(F.col("edges"), pieces.ranks, pieces.in_order)
+    folded = found.select("word", merged.alias("merged"), viterbi_fold(F.col("edges"), pieces.scores).alias("best"))
     word = F.col("word")
     return folded.select("word", ids_of(word, F.col("merged"), pieces.bytes).alias("ids"), ids_of(word, F.col("best"), pieces.bytes).alias("viterbi_ids"))
 

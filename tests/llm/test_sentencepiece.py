@@ -67,6 +67,21 @@ def test_viterbi_is_best(spark):
         assert path == S.best_path(w, {p: (s, [ids[p]]) for p, s in score.items()}, 3, [])
 
 
+def test_trying_each_edge_once_is_the_same(spark):
+    rng = random.Random(11)
+    pieces = S.Pieces(S.default_model())
+    assert pieces.in_order
+    texts = ["".join(rng.choice([p for p, _, _ in pieces.rows[:3000]]) for _ in range(rng.randint(1, 4)))[:40] for _ in range(300)]
+    rows = spark.createDataFrame(pieces.rows, "piece string, id int, score double")
+    lat = S.lattice(spark.createDataFrame([(t,) for t in sorted(set(texts))], "word string"), rows, pieces.longest)
+    ids = lambda codes: S.ids_of(F.col("word"), codes, pieces.bytes)
+    full = lat.select("word", ids(S.merge_fold(F.col("edges"), pieces.ranks)).alias("ids"), ids(S.viterbi_fold(F.col("edges"), pieces.scores)).alias("viterbi_ids"))
+    assert sorted(full.collect()) == sorted(S.encode_short(lat.select("word"), pieces).collect())
+    # "bc" is worse than "abc", yet a part of it where nothing else merges
+    assert not S.in_order([("a", 0, -9.0), ("b", 1, -9.0), ("c", 2, -9.0), ("bc", 3, -5.0), ("abc", 4, -2.0)], [9, 4, 4, 4, 3, 1])
+    assert S.in_order([("a", 0, -9.0), ("b", 1, -9.0), ("c", 2, -9.0), ("bc", 3, -2.0), ("abc", 4, -5.0)], [9, 4, 4, 4, 1, 3])
+
+
 def test_packed_arrays_come_back():
     a, b = np.array([0, 1, 2**31], np.uint32), np.zeros(0, np.uint32)
     x, y = S._unsqueeze(S._squeeze(a, b))
