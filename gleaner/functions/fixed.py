@@ -240,6 +240,10 @@ EMAIL = r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 PHONE = r"\b(?:\+?1[\s.-]?)?(?:\(?[2-9]\d{2}\)?[\s.-]?[2-9]\d{2}[\s.-]?\d{4})\b"
 HUMAN_WORDS = r"\b(?:used|owned|pickup|moving|scratches?|wear|works|estate|garage|condition|smoke[-\s]?free)\b"
 CARD_PRICE = r"^(?:free|contact|(?:ca|us|au)?\$\s*[0-9]|£\s*[0-9]|€\s*[0-9])"
+# the rule that the permissive profile switches off
+NEW_IN_BOX_RULE = "new-in-box-title"
+# parts of link targets that lead to another listing or to an ad unit
+OTHER_LISTING_LINKS = ("/marketplace/item/", "/marketplace/shops/item/", "/marketplace/np/item/", "/ads/about")
 DETAIL_PRICE = r"^(?:free$|(?:ca|us|au)?\$\s*[0-9]|£\s*[0-9]|€\s*[0-9])"
 AWAY_LINE = r"\b(?:mi|km)\s+away\b"
 PLACE_LINE = r"^[A-Za-zÀ-ÿ' .-]{2,40},\s*[A-Z]{2}$"

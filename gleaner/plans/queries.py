@@ -305,8 +305,10 @@ def html_lines(spark, sf_dir):
 @query()
 def detail_pages(spark, sf_dir):
     ship(spark)
-    out = extract.detail_columns(_table(spark, sf_dir, "pages"))
-    return out.select("page_id", "title", "price_text", "location_text", F.size("text_lines").alias("n_lines"), "visible_text")
+    # these pages mark no main part as item pages do; each is put into one, so that the walk has something to find
+    pages = _table(spark, sf_dir, "pages").withColumn("html", F.concat(F.lit('<div role="main">'), "html", F.lit("</div>")))
+    out = extract.detail_columns(pages)
+    return out.select("page_id", "found", "title", "price_text", "location_text", F.size("text_lines").alias("n_lines"), "visible_text")
 
 
 def _merge_sql() -> str:
