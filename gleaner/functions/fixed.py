@@ -255,3 +255,12 @@ GENERIC_TITLE_WORDS = ("a", "an", "and", "for", "free", "new", "obo", "of", "or"
 PLACEHOLDER_PRICES = (123, 1234, 12345, 1111, 9999)
 THRESHOLDS = {"relaxed": (28, 48, 86), "balanced": (20, 34, 72), "strict": (18, 26, 58)}  # label, dim, hide
 PROFILE_NOISY_RULES = ("duplicate-flood-repeat", "store-sales-language", "missing-human-context")
+# parts and beginnings of link targets of ad units
+AD_LINKS = ("/ads/about", "l.facebook.com/l.php")
+AD_LINK_START = "https://l.facebook.com"
+# discovery of cards: parents climbed, least and most text of a card, text and links beyond which it is none, least size in pixels
+CLIMB, CARD_TEXT_MIN, CARD_TEXT_MAX, CARD_TEXT_STOP, CARD_LINKS_STOP, CARD_WIDTH, CARD_HEIGHT = 9, 8, 1400, 1600, 3, 90, 70
+LABELS_MAX, LABEL_CHARS_MAX = 12, 80
+LONE_SPONSORED = r"^sponsored$"
+# how far beyond the window listings are looked at, in window heights
+LOOKAHEAD = 1.25
