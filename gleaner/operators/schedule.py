@@ -24,9 +24,17 @@ def keep_newest(cache: DataFrame, most: int = 800, order: str = "fetched_at", ti
 
 
 def rolling_rate(requests: DataFrame, by: str, ts: str = "ts", seconds: int = 60) -> DataFrame:
-    """Requests of each key within the last ``seconds``, with the key's own timeline as partition."""
-    w = W.partitionBy(by).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
-    return requests.withColumn("in_window", F.count(F.lit(1)).over(w))
+    """``in_window``: requests of the same key within the ``seconds`` up to each request, itself and its own time included.
+
+    A key's history is cut into slices as long as the window, and every request also visits the slice after its own: a slice then holds all that its
+    windows reach back to, so that one key's requests spread over as many tasks as it has slices.
+    """
+    us, width = F.unix_micros(ts), seconds * 1_000_000
+    own = F.floor(us / F.lit(width)).cast("long")
+    visits = requests.withColumns({"_us": us, "_own": own}).withColumn("_slice", F.explode(F.array_distinct(F.array("_own", F.col("_own") + 1))))
+    w = W.partitionBy(by, "_slice").orderBy("_us").rangeBetween(-width, 0)
+    counted = visits.withColumn("in_window", F.count(F.lit(1)).over(w))
+    return counted.where("_slice <=> _own").drop("_us", "_own", "_slice")
 
 
 def budget(outcomes: DataFrame, by: str, ts: str = "ts", outcome: str = "outcome", tie: str = "event_id") -> DataFrame:
