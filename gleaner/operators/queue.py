@@ -5,7 +5,7 @@ The log is sorted by key and time within partitions and read as a stream: a task
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections import OrderedDict, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +24,7 @@ class FetchQueue:
 
     def __init__(self):
         self.waiting: OrderedDict[int, int] = OrderedDict()  # item: when it was last asked for
-        self.running: OrderedDict[int, None] = OrderedDict()
+        self.running: deque[int] = deque()  # an item asked for again meanwhile may run twice
         self.until: dict[int, int] = {}
         self.requested = self.completed = 0
         self.failures: list[int] = []
@@ -61,7 +61,7 @@ class FetchQueue:
         while self.waiting:
             item, _ = self.waiting.popitem(last=False)
             if not self.fresh(item, us):
-                self.running[item] = None
+                self.running.append(item)
                 return item
         return None
 
@@ -69,7 +69,7 @@ class FetchQueue:
         """The fetch that has run longest ends."""
         if not self.running:
             return None
-        item, _ = self.running.popitem(last=False)
+        item = self.running.popleft()
         self.completed += 1
         self.until[item] = us + _TTL_US[outcome]
         if outcome != "verdict":
