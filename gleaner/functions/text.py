@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner.functions import fixed as X
+from gleaner.functions.gates import branches, gate
 
 #: White space in the wide sense: blanks, controls, no-break and typographic spaces, byte-order mark.
 SPACE = "[\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
@@ -32,6 +33,16 @@ def has(c: Column, pattern: str) -> Column:
     return c.rlike("(?i)" + pattern)
 
 
+def has_branch(c: Column, low: Column, pattern: str) -> Column:
+    """``has``, alternative by alternative, each behind the literals that it needs in ``low`` (the lower-cased text, or one that holds it)."""
+    out = None
+    for part in branches(pattern):
+        can, hit = gate(low, part), has(c, part)
+        hit = hit if can is None else can & hit
+        out = hit if out is None else out | hit
+    return out
+
+
 def amounts(c: Column) -> Column:
     """All dollar amounts of a text, as doubles."""
     found = F.regexp_extract_all(c, F.lit(X.AMOUNT), F.lit(1))

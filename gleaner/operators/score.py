@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import fixed as X
 from gleaner.functions import text as T
+from gleaner.functions.gates import Gates
 from gleaner.functions.settings import Settings
 
 MATCH = "struct<rule_id:string,category:string,weight:int,reason:string,confidence:string,sample:string>"
 _RULES = {r.id: r for r in X.RULES}
-_SCRATCH = ["_all", "_allf", "_title", "_titlef", "_tpf"]
 
 
 def _match(rule_id, category, weight, reason, confidence, sample=None) -> Column:
@@ -46,6 +46,23 @@ def _haystack(fields: str) -> str:
     return {"allText": "_allf", "title": "_titlef", "title+priceText": "_tpf"}[fields]
 
 
+_GATES = Gates([r.pattern for r in X.RULES] + [
+    X.PRICE_DISCLOSURE, X.HUMAN_SALE, X.VENDOR_BRANDS, X.CATEGORY_NOUNS, X.HUMAN_BUNDLE, X.LUXURY_BRANDS, X.HYPE_BRANDS, X.LOOKS_NEW, X.STRONG_AUTHENTICITY, X.LUXURY_ITEMS, X.AUTHENTICITY_DODGE, X.RETAIL, X.CONDITION,
+])
+
+
+def _find(fields: str, pattern: str) -> Column:
+    c = F.col(_haystack(fields))
+    hit = T.has_branch(c, F.col("_low"), pattern)
+    can = _GATES.can(pattern)
+    return F.when(hit if can is None else can & hit, T.find(c, pattern))
+
+
+def _has(pattern: str) -> Column:
+    hit, can = T.has_branch(F.col("_allf"), F.col("_low"), pattern), _GATES.can(pattern)
+    return hit if can is None else can & hit
+
+
 def with_text(df: DataFrame) -> DataFrame:
     """Adds the haystacks: all text, title, title and price, plain and ASCII-folded; and ``item_id``, ``text_lines`` where absent."""
     full = {c: F.coalesce(F.col(c), F.lit("")) for c in ("title", "price_text", "location_text", "seller_text", "visible_text") if c in df.columns}
@@ -54,6 +71,10 @@ def with_text(df: DataFrame) -> DataFrame:
     out = df.withColumns({c: v for c, v in full.items()})
     out = out.withColumns({"_all": join(*full), "_title": join("title"), "_tp": join("title", "price_text")})
     out = out.withColumns({"_allf": T.ascii_fold(F.col("_all")), "_titlef": T.ascii_fold(F.col("_title")), "_tpf": T.ascii_fold(F.col("_tp"))})
+    # one scan of all text, which holds the other haystacks, tells which patterns can match at all
+    out = out.withColumn("_low", F.lower("_allf"))
+    out = out.withColumns(_GATES.columns(F.col("_low")))
+    out = out.withColumns({k: _once(v, df.isStreaming) for k, v in _GATES.bits().items()}).drop("_found")
     extra = {}
     if "text_lines" not in df.columns:
         extra["text_lines"] = F.lit(None).cast("array<string>")
@@ -67,7 +88,7 @@ def static_hits(settings: Settings) -> Column:
     on = [(i, r) for i, r in enumerate(X.RULES) if settings.active(r.category, r.id)]
     if not on:
         return F.array().cast("array<struct<i:int,sample:string>>")
-    tries = [F.struct(F.lit(i).alias("i"), T.find(F.col(_haystack(r.fields)), r.pattern).alias("sample")) for i, r in on]
+    tries = [F.struct(F.lit(i).alias("i"), _find(r.fields, r.pattern).alias("sample")) for i, r in on]
     return F.filter(F.array(*tries), lambda h: h["sample"].isNotNull())
 
 
@@ -84,7 +105,7 @@ def bait_match(settings: Settings) -> Column:
     if not settings.active("bait-pricing", "bait-price-dynamic"):
         return F.lit(None).cast(MATCH)
     shown, allf, p = F.col("price_text"), F.col("_allf"), F.col("_price")
-    disclosed = T.has(allf, X.PRICE_DISCLOSURE)
+    disclosed = _has(X.PRICE_DISCLOSURE)
     placeholder = (p <= 5) | F.round(p).isin(*map(float, X.PLACEHOLDER_PRICES))
     higher = F.exists(T.amounts(allf), lambda a: (a > F.greatest(F.lit(25.0), p * 2)) & (a != p))
     m = lambda rule, w, reason, conf: _match(rule, "bait-pricing", w, reason, conf, shown)
@@ -92,13 +113,14 @@ def bait_match(settings: Settings) -> Column:
         F.when(p.isNull(), F.when(T.has(shown, X.HIDDEN_PRICE), m("bait-price-hidden", 40, "hidden/contact price", "high")))
         .when(placeholder & higher, m("bait-price-gamed", 74, "bait/display price mismatch", "high"))
         .when(placeholder & disclosed, m("bait-price-gamed", 38, "bait/display price mismatch", "medium"))
-        .when(disclosed & (p < 50) & ~T.has(allf, X.HUMAN_SALE), m("bait-price-disclosure", 30, "price disclosed elsewhere", "medium"))
+        .when(disclosed & (p < 50) & ~_has(X.HUMAN_SALE), m("bait-price-disclosure", 30, "price disclosed elsewhere", "medium"))
     )
 
 
-def _distinct_hits(c: Column, pattern: str) -> Column:
-    found = F.regexp_extract_all(c, F.lit("(?i)" + pattern), F.lit(0))
-    return F.array_distinct(F.transform(found, F.lower))
+def _distinct_hits(c: Column, pattern: str, known: str | None = None) -> Column:
+    found = F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit("(?i)" + pattern), F.lit(0)), F.lower))
+    can = _GATES.can(known or pattern)
+    return found if can is None else F.when(can, found).otherwise(F.array().cast("array<string>"))
 
 
 def stuffing_match(settings: Settings) -> Column:
@@ -110,7 +132,7 @@ def stuffing_match(settings: Settings) -> Column:
     vendors = F.size(_distinct_hits(F.col("_allf"), X.VENDOR_BRANDS))
     nouns = F.size(_distinct_hits(T.ascii_fold(F.lower(title)), X.CATEGORY_NOUNS))
     marks = F.length(title) - F.length(F.translate(title, ",|/•", ""))
-    bundle = T.has(F.col("_allf"), X.HUMAN_BUNDLE)
+    bundle = _has(X.HUMAN_BUNDLE)
     repetition = F.when(n >= 12, 1 - F.size(F.array_distinct(words)) / n).otherwise(0.0)
     fires = (vendors >= 4) | (repetition > 0.38) | ((((marks >= 9) & (n >= 10)) | ((nouns >= 5) & (n >= 8))) & ~bundle)
     blatant = (vendors >= 4) | (nouns >= 6)
@@ -126,15 +148,15 @@ def counterfeit_matches(settings: Settings) -> list[Column]:
         return []
     text, allf, p = F.col("_all"), F.col("_allf"), F.col("_price")
     # these patterns hold an accented letter, so they run on the unfolded text
-    luxury = _distinct_hits(text, X.LUXURY_BRANDS.replace("[eè]", "[eèÈ]"))
+    luxury = _distinct_hits(text, X.LUXURY_BRANDS.replace("[eè]", "[eèÈ]"), X.LUXURY_BRANDS)
     hype = _distinct_hits(allf, X.HYPE_BRANDS)
     brands = F.size(luxury) + F.size(hype)
     stack = brands >= 3
     cheap_luxury = (F.size(luxury) > 0) & (p > 0) & (p < F.when(stack, 300).otherwise(120))
-    cheap_hype = (F.size(hype) > 0) & T.has(allf, X.LOOKS_NEW) & (p > 0) & (p < 130)
+    cheap_hype = (F.size(hype) > 0) & _has(X.LOOKS_NEW) & (p > 0) & (p < 130)
     cheap = F.coalesce(cheap_luxury, F.lit(False)) | F.coalesce(cheap_hype, F.lit(False))
-    fires = ~T.has(allf, X.STRONG_AUTHENTICITY) & (stack | (T.has(allf, X.LUXURY_ITEMS) & cheap))
-    dodge = F.when(brands > 0, T.find(allf, X.AUTHENTICITY_DODGE))
+    fires = ~_has(X.STRONG_AUTHENTICITY) & (stack | (_has(X.LUXURY_ITEMS) & cheap))
+    dodge = F.when(brands > 0, _find("allText", X.AUTHENTICITY_DODGE))
     return [
         F.when(dodge.isNotNull(), _match("counterfeit-authenticity-dodge", "counterfeit", 30, "authenticity dodge on branded item", "medium", dodge)),
         F.when(
@@ -164,7 +186,7 @@ def sponsored_match(settings: Settings) -> Column:
 
 
 def _retail_only() -> Column:
-    return T.has(F.col("_allf"), X.RETAIL) & ~T.has(F.col("_allf"), X.CONDITION)
+    return _has(X.RETAIL) & ~_has(X.CONDITION)
 
 
 def missing_human_match(settings: Settings) -> Column:
@@ -199,7 +221,7 @@ def user_matches(settings: Settings) -> list[Column]:
     for t in X.TOGGLES:
         if t.kind == "vendor" and t.id in settings.block_all:
             rules = [_RULES[r] for r in t.rule_ids if r in _RULES]
-            sample = F.coalesce(*[T.find(F.col(_haystack(r.fields)), r.pattern) for r in rules])
+            sample = F.coalesce(*[_find(r.fields, r.pattern) for r in rules])
             out.append(F.when(sample.isNotNull(), _match(f"block-all-{t.id}", "custom-rules", 96, f"your “{t.label}: Hide all” setting", "high", sample)))
     lower = F.lower("_all")
     for terms, rule, weight, what in ((settings.block_terms, "custom-block-term", 96, "custom block"), (settings.vendor_terms, "custom-vendor-term", 38, "custom vendor")):
