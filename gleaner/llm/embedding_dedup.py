@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import Workspace, chunked, ship, table
 from gleaner.llm.graph import components
 
+_CELLS = 1 << 21  # of a matrix of rows x pivots, or of rows x rows
 _SLACK = 1e-6  # of bounds, above the rounding of double precision
 
 
@@ -43,6 +44,9 @@ def _normal(batches):
             x = None
             if v and None not in v:
                 x = np.array(v, np.float64)
+                most = np.abs(x).max()
+                if np.isfinite(most) and most and not 1e-100 < most < 1e100:  # whose squares would over- or underflow
+                    x = x / most
                 size = np.sqrt(x @ x) if np.isfinite(x).all() else 0.0
                 x = x / size if size > 0 and np.isfinite(size) else None
             ids.append(i)
@@ -62,8 +66,9 @@ def _home(pivots, radius: float):
         for b in chunked(batches, 2048):
             dims, raws = np.array(b.column("dim").to_pylist()), b.column("u").to_pylist()
             rows, cells, own = [], [], []
-            for dim in np.unique(dims).tolist():
-                mine = np.flatnonzero(dims == dim)
+            # a few matrices of rows x pivots at a time, whatever the number of pivots
+            parts = [(d, at) for d in np.unique(dims).tolist() for all_ in [np.flatnonzero(dims == d)] for n in [max(1, _CELLS // len(by_dim[d][1])) if d in by_dim else len(all_)] for at in np.split(all_, range(n, len(all_), n))]
+            for dim, mine in parts:
                 if dim not in by_dim:
                     rows.append(mine)
                     cells.append(np.full(len(mine), -dim))
@@ -88,6 +93,21 @@ def _home(pivots, radius: float):
     return run
 
 
+def _joined(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Components after the links a[k]-b[k] between components."""
+    while len(a):
+        apart = a != b
+        a, b = a[apart], b[apart]
+        if not len(a):
+            break
+        up = np.arange(len(comp))
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
+        comp, a, b = up[comp], up[a], up[b]
+    return comp
+
+
 def _tile(cosine: float, bar: float):
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         """Counts and labels of the classes of two blocks that have links between them; ``key`` ends with the two blocks."""
@@ -100,37 +120,42 @@ def _tile(cosine: float, bar: float):
         vx, vy = left.column("v").to_numpy(), right.column("v").to_numpy()
         wx, wy = left.column("weight").to_numpy(), right.column("weight").to_numpy()
         n_x, n_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-        label_x, label_y = vx.copy(), vy.copy()
+        # components of the classes of both blocks: of a block with itself they are the same classes
+        shift = 0 if same else len(x)
+        comp = np.arange(shift + len(y))
+        on = np.zeros(shift + len(y), bool)
         x32, y32 = x.astype(np.float32), y.astype(np.float32)
-        hits = []
-        for lo in range(0, len(x), 256):
-            s = x32[lo : lo + 256] @ y32.T
+        step = max(1, min(256, _CELLS // len(y)))
+        for lo in range(0, len(x), step):
+            s = x32[lo : lo + step] @ y32.T
             i, j = np.nonzero(s >= bar)
-            if len(i):
-                tight = s[i, j] < cosine + (cosine - bar)
-                if tight.any():  # single precision cannot tell: decide in double
-                    ok = np.ones(len(i), bool)
-                    ok[tight] = np.einsum("ij,ij->i", x[lo + i[tight]], y[j[tight]]) >= cosine
-                    i, j = i[ok], j[ok]
-                i = i + lo
-                other = vx[i] != vy[j]
-                i, j = i[other], j[other]
-                n_x += np.bincount(i, wy[j], len(x)).astype(np.int64)
-                if not same:
-                    n_y += np.bincount(j, wx[i], len(y)).astype(np.int64)
-                if len(i):
-                    hits.append((i, j))
-        if not hits:
+            if not len(i):
+                continue
+            tight = s[i, j] < cosine + (cosine - bar)
+            if tight.any():  # single precision cannot tell: decide in double
+                ok = np.ones(len(i), bool)
+                at = np.flatnonzero(tight)
+                for k in range(0, len(at), 1 << 16):
+                    some = at[k : k + (1 << 16)]
+                    ok[some] = np.einsum("ij,ij->i", x[lo + i[some]], y[j[some]]) >= cosine
+                i, j = i[ok], j[ok]
+            i = i + lo
+            other = vx[i] != vy[j]
+            i, j = i[other], j[other]
+            n_x += np.bincount(i, wy[j], len(x)).astype(np.int64)
+            if not same:
+                n_y += np.bincount(j, wx[i], len(y)).astype(np.int64)
+            on[i], on[shift + j] = True, True
+            comp = _joined(comp, comp[i], comp[shift + j])  # at once: links are not kept
+        if not on.any():
             return none
-        while True:  # labels sink until they rest: the links themselves are not put out
-            was_x, was_y = label_x.copy(), label_y.copy()
-            for i, j in hits:
-                np.minimum.at(label_x, i, label_y[j])
-                np.minimum.at(label_y, j, label_x[i])
-            if (was_x == label_x).all() and (was_y == label_y).all():
-                break
-        on_x, on_y = np.unique(np.concatenate([i for i, _ in hits])), np.unique(np.concatenate([j for _, j in hits]))
-        parts = ((vx, n_x, label_x, on_x), (vy, n_y, label_y, on_y))
+        v = vy if same else np.concatenate([vx, vy])
+        least = np.full(len(comp), np.iinfo(np.int64).max)
+        np.minimum.at(least, comp, v)
+        label = least[comp]
+        on_x, on_y = np.flatnonzero(on[: len(x)]), np.flatnonzero(on[shift:])
+        label_x, label_y = label[: len(x)], label[shift:]
+        parts = ((vx, n_x, label_x, on_x),) if same else ((vx, n_x, label_x, on_x), (vy, n_y, label_y, on_y))
         return pa.table({name: pa.array(np.concatenate([part[k][part[3]] for part in parts])) for k, name in enumerate(("v", "n", "label"))})
 
     return run

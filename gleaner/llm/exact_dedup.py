@@ -12,13 +12,13 @@ bitmap of its own: the method and its memory stay the same for any number of row
 
 Defined cases: a null text counts as empty, and so equals every empty or all-blank text; empty
 tables give empty results; extra columns are ignored by ``exact_groups`` and kept by
-``exact_dedup``; rows are judged each by its own text, whatever their ids; of rows equal in text, length and id one stays in
-``exact_dedup``; a null doc_id sorts after all others.
+``exact_dedup``; rows are judged each by its own text, whatever their ids; of rows equal in text, length and id one stays; a null doc_id sorts after all others.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import uuid
 
 import numpy as np
@@ -91,8 +91,11 @@ def _hits(sha: list[bytes], bits: int, marks: bytes) -> np.ndarray:
 
 def _test(bits: int, marks):
     def run(batches):
+        at = int.from_bytes(os.urandom(8), "big") >> 2  # rows are told apart by a number that is written with them
         for b in chunked(batches, 65536):
-            yield b.append_column("maybe", pa.array(_hits(b.column("sha").to_pylist(), bits, marks.value)))
+            rows = pa.array(np.arange(at, at + b.num_rows, dtype=np.int64))
+            at += b.num_rows
+            yield b.append_column("maybe", pa.array(_hits(b.column("sha").to_pylist(), bits, marks.value))).append_column("row", rows)
 
     return run
 
@@ -101,7 +104,7 @@ _DIGESTS = "doc_id long, sha binary, n_points long, slice int"
 
 
 def _tested(src: DataFrame, ws: Workspace, bits_per_text: int, max_bits: int) -> DataFrame:
-    """doc_id, sha, n_points, maybe of every row of ``src`` (doc_id, text)."""
+    """doc_id, sha, n_points, maybe, row of every row of ``src`` (doc_id, text)."""
     spark = src.sparkSession
     n = src.count()
     slices = max(1, -(-n * bits_per_text // max_bits))
@@ -114,22 +117,18 @@ def _tested(src: DataFrame, ws: Workspace, bits_per_text: int, max_bits: int) ->
         digests = ws.write(digests, "digests")
     for k in range(slices):
         own = digests.where(F.col("slice") == k)
-        marks = bytearray(bits // 8)
-        segs = own.select("sha").mapInArrow(_emit_cells(bits), "seg long, cells binary")
-        for r in segs.groupBy("seg").applyInArrow(_mark, "seg long, bits binary").toLocalIterator():
-            marks[r["seg"] * _SEG_BITS // 8 : (r["seg"] + 1) * _SEG_BITS // 8] = r["bits"]
-        sent = spark.sparkContext.broadcast(bytes(marks))
-        own.mapInArrow(_test(bits, sent), _DIGESTS + ", maybe boolean").write.mode("append").parquet(path)
+        sent = _marks(own.select("sha").mapInArrow(_emit_cells(bits), "seg long, cells binary"), _mark, bits)
+        own.mapInArrow(_test(bits, sent), _DIGESTS + ", maybe boolean, row long").write.mode("append").parquet(path)
         sent.destroy()
     ws.drop("digests")
-    return spark.read.schema(_DIGESTS + ", maybe boolean").parquet(path)
+    return spark.read.schema(_DIGESTS + ", maybe boolean, row long").parquet(path)
 
 
 def _groups(tested: DataFrame, ws: Workspace) -> DataFrame:
-    """sha, keep_id, keep_points, group_size of digests that several rows have."""
-    best = F.max_by(F.struct("doc_id", "n_points"), F.struct("n_points", F.coalesce(-F.col("doc_id"), F.lit(-(2**63) + 1))))
+    """sha, keep_id, keep_points, keep_row, group_size of digests that several rows have."""
+    best = F.max_by(F.struct("doc_id", "n_points", "row"), F.struct("n_points", F.col("doc_id").isNotNull(), F.bitwise_not("doc_id"), "row"))
     groups = tested.where("maybe").groupBy("sha").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    return ws.write(groups.select("sha", F.col("best.doc_id").alias("keep_id"), F.col("best.n_points").alias("keep_points"), "group_size"), "groups")
+    return ws.write(groups.select("sha", F.col("best.doc_id").alias("keep_id"), F.col("best.n_points").alias("keep_points"), F.col("best.row").alias("keep_row"), "group_size"), "groups")
 
 
 def exact_groups(
@@ -151,7 +150,7 @@ def exact_groups(
         "doc_id",
         F.when(lone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (lone | F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points"))).alias("kept"),
+        (lone | (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
     unique = tested.where("not maybe").select(
@@ -160,19 +159,39 @@ def exact_groups(
     return unique.unionByName(found)
 
 
-def _with_digest(text_col: str, sha_col: str, n_col: str):
+def _with_digest(text_col: str, sha_col: str, n_col: str, maybe: bool, bits: int, marks):
+    """Rows with their digest and length: those whose digest falls on marks, or the others."""
+
     def run(batches):
         for b in chunked(batches, 2048):
             sha, n = _digests_of(b.column(text_col).to_pylist())
-            yield b.append_column(sha_col, pa.array(sha, pa.binary())).append_column(n_col, pa.array(n, pa.int64()))
+            own = _hits(sha, bits, marks.value) if sha else np.zeros(0, bool)
+            out = b.append_column(sha_col, pa.array(sha, pa.binary())).append_column(n_col, pa.array(n, pa.int64()))
+            yield out.filter(pa.array(own if maybe else ~own))
 
     return run
 
 
+def _set(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """Bits of a segment's cells on which any digest fell."""
+    on = np.zeros(_SEG_BITS, bool)
+    for raw in t.column("cells").to_pylist():
+        on[np.frombuffer(raw, np.uint32)] = True
+    return pa.table({"seg": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
+
+
+def _marks(segs: DataFrame, mark, bits: int):
+    marks = bytearray(bits // 8)
+    for r in segs.groupBy("seg").applyInArrow(mark, "seg long, bits binary").toLocalIterator():
+        marks[r["seg"] * _SEG_BITS // 8 : (r["seg"] + 1) * _SEG_BITS // 8] = r["bits"]
+    return segs.sparkSession.sparkContext.broadcast(bytes(marks))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_text: int = 16, max_bits: int = 1 << 28) -> DataFrame:
     """``docs`` without the rows whose text equals that of a row that stays (see ``exact_groups``).
 
-    Only digests that repeat are joined; rows are judged by their own digest, never by their id.
+    A filter over the repeated digests tells which rows may have one: only those are joined with the groups, and the texts of all others never
+    shuffle, however many groups there are. Rows are judged by their own digest, never by their id.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -186,13 +205,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sha, n, keep, points, tie = (f"_{x}_{end}" for x in ("sha", "n", "keep", "points", "tie"))
     named = groups.join(ties, "sha").select(F.col("sha").alias(sha), F.col("keep_id").alias(keep), F.col("keep_points").alias(points), F.col("tie").alias(tie))
     named = ws.write(named, "named")
-    rows = docs.mapInArrow(_with_digest(text_col, sha, n), T.StructType([*docs.schema.fields, T.StructField(sha, T.BinaryType()), T.StructField(n, T.LongType())]))
+    bits = max(_SEG_BITS, -(-min(max_bits, named.count() * bits_per_text) // _SEG_BITS) * _SEG_BITS)
+    sent = _marks(named.select(F.col(sha).alias("sha")).mapInArrow(_emit_cells(bits), "seg long, cells binary"), _set, bits)
+    schema = T.StructType([*docs.schema.fields, T.StructField(sha, T.BinaryType()), T.StructField(n, T.LongType())])
+    rows = lambda maybe: docs.mapInArrow(_with_digest(text_col, sha, n, maybe, bits, sent), schema)
+    own = [F.col(f"`{c}`") for c in docs.columns]
     stays = F.col(id_col).cast("long").eqNullSafe(F.col(keep)) & (F.col(n) == F.col(points))
-    kept = rows.join(named, sha, "left").where(F.col(points).isNull() | stays)
-    if named.where(F.col(tie)).isEmpty():
-        return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
-    one = kept.where(F.col(tie)).dropDuplicates([sha])
-    return kept.where(F.coalesce(~F.col(tie), F.lit(True))).unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = rows(True).join(named, sha, "left").where(F.col(points).isNull() | stays)
+    if not named.where(F.col(tie)).isEmpty():
+        one = kept.where(F.col(tie)).dropDuplicates([sha])
+        kept = kept.where(F.coalesce(~F.col(tie), F.lit(True))).unionByName(one)
+    return rows(False).select(*own).unionByName(kept.select(*own))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

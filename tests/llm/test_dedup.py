@@ -144,3 +144,57 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_groups(none).count() == 0
     assert ngram_join.link_components(none).count() == 0
     assert substring_dedup.substring_report(none).count() == 0
+
+
+def test_vectors_of_extreme_size_link(spark):
+    from gleaner.llm.embedding_dedup import near_vectors
+
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [1e-200, 1e-200]), (4, [1.0, 1.0]), (5, [1.0, -1.0]), (6, [5e-324, 0.0]), (7, [1e308, 1e300]), (8, [0.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
+def test_a_crowd_in_one_tile_takes_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from gleaner.llm.embedding_dedup import _tile
+
+    n, rng = 6000, np.random.default_rng(4)
+    x = np.ones(64) + 0.01 * rng.normal(size=(n, 64))
+    x[-1] = rng.normal(size=64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    t = pa.table({"v": pa.array(np.arange(n) + 5), "weight": pa.array(np.ones(n, np.int64)), "u": pa.array([r.tobytes() for r in x], pa.binary())})
+    key = tuple(pa.scalar(k) for k in (0, 0, 0))
+    tracemalloc.start()
+    out = _tile(0.95, 0.95 - 1e-4)(key, t, t).to_pydict()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out["v"]) == n - 1 and set(out["n"]) == {n - 2} and set(out["label"]) == {5} and most < 400e6
+
+
+def test_exact_groups_of_repeated_and_extreme_ids(spark):
+    from gleaner.llm.exact_dedup import exact_dedup, exact_groups
+
+    rows = [(1, "same text"), (1, "same text"), (1, "same text"), (-(2**63), "a b"), (2**63 - 1, "ab"), (None, "a\tb"), (7, "other"), (8, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = exact_groups(df).collect()
+    assert sorted(r["kept"] for r in got if r["doc_id"] == 1) == [False, False, True] and len(got) == len(rows)
+    keep = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in got if r["doc_id"] != 1}
+    assert keep == {-(2**63): (-(2**63), 3, True), 2**63 - 1: (-(2**63), 3, False), None: (-(2**63), 3, False), 7: (7, 1, True), 8: (8, 2, True), 9: (8, 2, False)}
+    assert sorted(r["doc_id"] for r in exact_dedup(df).collect()) == [-(2**63), 1, 7, 8]
+
+
+def test_texts_that_do_not_repeat_never_shuffle(spark):
+    from gleaner.llm.exact_dedup import exact_dedup
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(i, f"text {i % 40}") for i in range(60)], "doc_id long, text string")
+        out = exact_dedup(df)
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        plain, joined = plan.split("SortMergeJoin")[0], plan.split("SortMergeJoin")[1]
+        assert out.count() == 40 and "Union" in plain and "Exchange" not in plain.replace("BroadcastExchange", "") and "MapInArrow" in plain and "MapInArrow" in joined
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
