@@ -16,9 +16,9 @@ LEVELS = ("relaxed", "balanced", "strict")
 
 
 def views(entries: DataFrame) -> DataFrame:
-    """Each entry as a card (title, price, place) and in detail (with its body)."""
+    """Each entry as a card (price, title, place) and in detail (with its body)."""
     lines = lambda *cs: F.filter(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in cs]), lambda x: x != "")
-    card = lines("title", "price_text", "location_text")
+    card = lines("price_text", "title", "location_text")
     both = F.array(F.struct(F.lit("card").alias("view"), card.alias("lines")), F.struct(F.lit("detail").alias("view"), F.concat(card, F.filter(F.split(F.coalesce("body", F.lit("")), "\r?\n"), lambda x: x != "")).alias("lines")))
     return entries.withColumn("_v", F.explode(both)).withColumns({"view": F.col("_v.view"), "text_lines": F.col("_v.lines"), "visible_text": F.array_join("_v.lines", "\n")}).drop("_v")
 

@@ -14,7 +14,7 @@ from gleaner.operators import enrich, evaluate, flood, image, report, schedule
 from gleaner.operators import score as S
 from gleaner.plans import oracle as O
 from gleaner.plans.listings import listings, listings_sql
-from gleaner.plans.shared import shared_dir, ship
+from gleaner.plans.shared import shared_dir
 from gleaner.sources import extract
 
 QUERIES: dict = {}
@@ -262,10 +262,10 @@ def allow_terms(spark, sf_dir):
     return listings(spark, sf_dir).select("item_no", T.allow_term(F.col("title")).alias("allow_term"))
 
 
-@query(f"WITH l AS ({listings_sql()}) SELECT item_no, title, CASE WHEN {O.has('price_text', X.CARD_PRICE)} THEN price_text ELSE '' END AS price_text, CASE WHEN regexp_matches(location_text, {O._q(X.PLACE_LINE)}) THEN location_text ELSE '' END AS location_text, CASE WHEN seller_text <> '' THEN 'Sold by ' || seller_text ELSE '' END AS seller_text FROM l WHERE NOT {O.has('title', X.NOT_TITLE)}")
+@query(f"WITH l AS ({listings_sql()}) SELECT item_no, CASE WHEN NOT {O.has('title', X.NOT_TITLE)} THEN title WHEN seller_text <> '' THEN 'Sold by ' || seller_text WHEN NOT {O.has('price_text', X.CARD_PRICE)} AND NOT regexp_matches(location_text, {O._q(X.PLACE_LINE)}) AND NOT {O.has('location_text', X.NOT_TITLE)} THEN location_text ELSE NULL END AS title, CASE WHEN {O.has('price_text', X.CARD_PRICE)} THEN price_text ELSE '' END AS price_text, CASE WHEN regexp_matches(location_text, {O._q(X.PLACE_LINE)}) THEN location_text ELSE '' END AS location_text, CASE WHEN seller_text <> '' THEN 'Sold by ' || seller_text ELSE '' END AS seller_text FROM l")
 def card_fields(spark, sf_dir):
     """Cards as lines: price, title, place, seller; taken apart again."""
-    df = listings(spark, sf_dir).where(~T.has(F.col("title"), X.NOT_TITLE))
+    df = listings(spark, sf_dir)
     price = F.when(T.has(F.col("price_text"), X.CARD_PRICE), F.col("price_text")).otherwise("")
     lines = F.filter(F.array(price, "title", "location_text", F.when(F.col("seller_text") != "", F.concat(F.lit("Sold by "), "seller_text")).otherwise("")), lambda x: x != "")
     out = extract.card_columns(df.select("item_no", lines.alias("text_lines")))
@@ -297,14 +297,12 @@ def outbound_links(spark, sf_dir):
 
 @query()
 def html_lines(spark, sf_dir):
-    ship(spark)
-    df = _table(spark, sf_dir, "pages").withColumn("p", extract.parse_html(F.col("html")))
-    return df.select("page_id", F.col("p.title").alias("title"), F.size("p.lines").alias("n_lines"), F.array_join("p.lines", "\n").alias("text"))
+    df = extract.page_lines(_table(spark, sf_dir, "pages"))
+    return df.select("page_id", F.col("parsed.title").alias("title"), F.size("parsed.lines").alias("n_lines"), F.array_join("parsed.lines", "\n").alias("text"))
 
 
 @query()
 def detail_pages(spark, sf_dir):
-    ship(spark)
     # these pages mark no main part as item pages do; each is put into one, so that the walk has something to find
     pages = _table(spark, sf_dir, "pages").withColumn("html", F.concat(F.lit('<div role="main">'), "html", F.lit("</div>")))
     out = extract.detail_columns(pages)
@@ -355,7 +353,7 @@ def _entries(spark, sf_dir):
 
 def _eval_sql(level: str, view: str) -> str:
     full = O.scored(Settings(aggressiveness=level))
-    lines = ["title", "price_text", "location_text"] + (["body"] if view == "detail" else [])
+    lines = ["price_text", "title", "location_text"] + (["body"] if view == "detail" else [])
     seen = f"concat_ws(chr(10), {', '.join(f'nullif({c}, {chr(39) * 2})' for c in lines)})"
     return full.replace("seller_text, body, \n  CONCAT_WS(' ', title, price_text, location_text, body, CASE WHEN sponsored THEN 'Sponsored' END) AS visible_text", f"'' AS seller_text, body, {seen} AS visible_text")
 

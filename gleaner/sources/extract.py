@@ -11,43 +11,51 @@ from pyspark.sql import types as S
 
 from gleaner.functions import fixed as X
 from gleaner.functions import text as T
+from gleaner.plans.shared import ship
+from gleaner.sources.elements import OWN_UI, hidden_tags
 
-_SKIP = {"script", "style", "noscript", "template"}
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _HOSTS = r"(?:^|\.)(?:facebook\.com|fbcdn\.net)$"
 
 
 class _Lines(HTMLParser):
-    """Text nodes in document order; h1 texts, labels and image addresses on the side."""
+    """Text nodes in document order; h1 texts, labels and image addresses on the side. What this library itself put into a page is none of its text."""
 
-    def __init__(self):
+    def __init__(self, page: str = ""):
         super().__init__(convert_charrefs=True)
         self.lines, self.heads, self.labels, self.images, self.skip, self.h1 = [], [], [], [], 0, None
+        self.quiet, self.own = hidden_tags(page), []  # own: open elements since one of this library's began
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        if tag in _SKIP:
+        if tag in self.quiet:
             self.skip += 1
+        if tag not in _VOID and (self.own or set((a.get("class") or "").split()) & OWN_UI):
+            self.own.append(tag)
         if tag == "h1":
             self.h1 = ""
-        if a.get("aria-label") and tag not in ("a", "img"):
-            self.labels.append(" ".join(a["aria-label"].split()))
+        if a.get("aria-label"):
+            self.labels.append((tag, " ".join(a["aria-label"].split())))
         if tag == "img" and (a.get("src") or "").lower().startswith("http"):
             self.images.append(a["src"])
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag in _SKIP:
-            self.skip -= 1
+        if tag not in _VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in _SKIP and self.skip:
+        if tag in self.quiet and self.skip:
             self.skip -= 1
+        if tag in self.own:
+            while self.own.pop() != tag:
+                pass
         if tag == "h1" and self.h1 is not None:
             self.heads.append(" ".join(self.h1.split()))
             self.h1 = None
 
     def handle_data(self, data):
-        if self.skip:
+        if self.skip or self.own:
             return
         if self.h1 is not None:
             self.h1 += data
@@ -56,7 +64,6 @@ class _Lines(HTMLParser):
             self.lines.append(line)
 
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _CLIMB = 10
 
 
@@ -67,9 +74,9 @@ class _Container(HTMLParser):
     Elements are spans over the page's texts and links, so that one pass finds them all; the climb goes up at most ``_CLIMB`` parents.
     """
 
-    def __init__(self):
+    def __init__(self, page: str = ""):
         super().__init__(convert_charrefs=True)
-        self.texts, self.links, self.foreign, self.skip = [], [], 0, 0
+        self.texts, self.links, self.foreign, self.skip, self.quiet = [], [], 0, 0, hidden_tags(page)
         self.spans, self.open, self.hero, self.image = [], [], None, None  # span: tag, role, parent, [begin], [end]
 
     def _here(self):
@@ -77,7 +84,7 @@ class _Container(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        self.skip += tag in _SKIP
+        self.skip += tag in self.quiet
         href, src = a.get("href") or "", a.get("src") or ""
         if tag == "img":
             if self.hero is None and (a.get("alt") or "").startswith("Product photo of"):
@@ -104,7 +111,7 @@ class _Container(HTMLParser):
         while True:
             i = self.open.pop()
             self.spans[i][4] = self._here()
-            self.skip -= self.spans[i][0] in _SKIP
+            self.skip -= self.spans[i][0] in self.quiet
             if self.spans[i][0] == tag:
                 return
 
@@ -156,7 +163,7 @@ def detail_container(pages: pd.Series) -> pd.DataFrame:
     """Lines, title, links and image of a page's main listing; lines are null where the page has none (or is null)."""
     out = []
     for page in pages:
-        p = _Container()
+        p = _Container(page or "")
         p.feed(page or "")
         p.close()
         out.append(p.result() or (None, None, None, None))
@@ -171,15 +178,22 @@ def parse_html(pages: pd.Series) -> pd.DataFrame:
     """Visible lines (equal neighbours once), last h1, the first 12 labels, the first image of each page."""
     out = []
     for page in pages:
-        p = _Lines()
+        p = _Lines(page or "")
         if page:
             p.feed(page)
             p.close()
-        labels = [x for x in p.labels[:12] if x and len(x) <= 80 and x not in p.lines]
+        # the first twelve labelled elements, of which those of links and images then do not count
+        labels = [x for tag, x in p.labels[: X.LABELS_MAX] if tag not in ("a", "img") and x and len(x) <= X.LABEL_CHARS_MAX and x not in p.lines]
         out.append((p.lines, p.heads[-1] if p.heads else None, labels, p.images[0] if p.images else None))
     return pd.DataFrame(out, columns=["lines", "title", "labels", "image"])
 
 
+def page_lines(df: DataFrame, html: str = "html") -> DataFrame:
+    """``df`` with ``parsed``: lines, title, labels and image of each page."""
+    ship(df.sparkSession)
+    return df.withColumn("parsed", parse_html(F.col(html)))
+
+
 def _first(lines: Column, keep) -> Column:
     return F.get(F.filter(lines, keep), F.lit(0))
 
@@ -221,6 +235,7 @@ def seller_text(lines: Column) -> Column:
 def detail_columns(df: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """The listing columns of an item page's main part; its outbound links join the lines. ``found`` is false, and the columns
     are empty, on pages without a main part that has a heading."""
+    ship(df.sparkSession)
     out = df.withColumn("_p", detail_container(F.col(html)))
     none = F.array().cast("array<string>")
     lines, links = F.coalesce("_p.lines", none), platform_free(F.coalesce("_p.links", none))
