@@ -378,14 +378,29 @@ def eval_gate(spark, sf_dir):
     return evaluate.gate(evaluate.evaluated(_entries(spark, sf_dir), ("balanced",)))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({O._q(r.id)}, {O._q(r.category)}, {r.weight})" for r in X.RULES) + ", " + ", ".join(f"({O._q(c[0])}, {O._q(c[1])}, {c[3]})" for c in X.DYNAMIC_CONTROLS) + ") t(rule_id, category, weight)")
+_CATALOG = "(VALUES " + ", ".join(f"({O._q(r.id)}, {O._q(r.category)}, {r.weight})" for r in X.RULES) + ", " + ", ".join(f"({O._q(c[0])}, {O._q(c[1])}, {c[3]})" for c in X.DYNAMIC_CONTROLS) + ") t(rule_id, category, weight)"
+
+
+@query(f"WITH {O.scored()}, h AS (SELECT CASE WHEN rule_id LIKE 'bait-price-%' THEN 'bait-price-dynamic' WHEN rule_id LIKE 'duplicate-flood-%' THEN 'duplicate-flood-dynamic' ELSE rule_id END AS rule_id, count(*) AS n FROM m GROUP BY 1) SELECT t.rule_id, category, weight, coalesce(n, 0) AS n FROM {_CATALOG} LEFT JOIN h ON t.rule_id = h.rule_id")
 def rule_catalog(spark, sf_dir):
-    return report.rule_catalog(spark).select("rule_id", "category", "weight")
+    return report.catalog_hits(_scored(spark, sf_dir)).select("rule_id", "category", "weight", "n")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t.id}', '{'block' if t.id == 'ikea' else 'filter'}')" for t in X.TOGGLES) + ") t(toggle, mode)")
+@query(f"WITH {O.scored()} " + " UNION ALL ".join(f"SELECT '{t.id}' AS toggle, '{'block' if t.id == 'ikea' else 'filter'}' AS mode, count(DISTINCT item_no) AS n FROM m WHERE rule_id IN ({', '.join(map(O._q, t.rule_ids)) or 'NULL'})" for t in X.TOGGLES))
 def toggle_modes(spark, sf_dir):
-    return report.toggle_modes(spark).select("toggle", "mode")
+    return report.toggle_hits(_scored(spark, sf_dir)).select("toggle", "mode", "n")
+
+
+def _tester_sql() -> str:
+    full = O.scored(_USER)
+    return full.replace("title, price_text, location_text, seller_text, body, \n  CONCAT_WS(' ', title, price_text, location_text, body, CASE WHEN sponsored THEN 'Sponsored' END) AS visible_text", "title, price_text, '' AS location_text, '' AS seller_text, body, concat_ws(chr(10), title, nullif(body, '')) AS visible_text")
+
+
+@query(f"WITH {_tester_sql()} SELECT item_no, title, score, action, n_matches AS n_findings FROM s")
+def rule_tester(spark, sf_dir):
+    """Each listing's title and body typed in as a text under a user's settings."""
+    texts = listings(spark, sf_dir).select("item_no", "item_id", "price_text", F.concat_ws("\n", "title", F.nullif("body", F.lit(""))).alias("text"))
+    return report.try_rules(texts, _USER).select("item_no", "title", "score", "action", F.size("findings").alias("n_findings"))
 
 
 _OUTCOME = "CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'verdict' ELSE 'no-data' END"

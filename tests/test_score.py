@@ -62,3 +62,21 @@ def test_flood_images(spark):
     schema = "page_id long, pos long, item_id string, title string, price_text string, location_text string, visible_text string, image_hash string"
     got = sorted(analyze_flood(spark.createDataFrame(rows, schema)).collect(), key=lambda r: r["pos"])
     assert {r["duplicate"]["tier"] for r in got} == {"image"} and [r["duplicate"]["ordinal"] for r in got] == list(range(5))
+
+
+def test_rule_tester_and_search(spark):
+    from gleaner.operators import report
+
+    texts = [(1, "\n  Temu lamp, new \nships from our warehouse  ", None, "$12"), (2, "", " ", ""), (3, None, "Own title", None)]
+    got = {r["n"]: r for r in report.try_rules(spark.createDataFrame(texts, "n int, text string, title string, price_text string")).collect()}
+    assert got[1]["title"] == "Temu lamp, new " and got[1]["action"] != "allow" and got[2]["title"] == "" and got[3]["title"] == "Own title" and got[3]["findings"] == []
+    assert any(f.startswith("+32 · Temu/source mention (known-vendor) · vendor-temu · high · matched") for f in got[1]["findings"])
+    found = report.search_rules(report.rule_catalog(spark), "  TEMU ")
+    assert [r["rule_id"] for r in found.collect()] == ["vendor-temu"]
+    from pyspark.sql import functions as F
+
+    from gleaner.functions import text as T
+
+    urls = ["https://www.facebook.com/marketplace/profile/7/", "https://www.facebook.com/x?ref=marketplace_profile", "https://x.example/?ref=other", "no url ref=marketplace_profile", None]
+    seen = spark.createDataFrame([(u,) for u in urls], "u string").coalesce(1).select(T.is_seller_profile(F.col("u"))).collect()
+    assert [r[0] for r in seen] == [True, True, False, True, False]
