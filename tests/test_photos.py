@@ -41,3 +41,18 @@ def test_photos_of_one_file_go_to_all_cores(spark, tmp_path):
     spark.createDataFrame([(i, i % 50) for i in range(40)], "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     out = Q.catalog_style(spark, str(tmp_path))
     assert out.count() == 40 and out.rdd.getNumPartitions() > 1
+
+
+def brute_hash(g):
+    luma = [None if any(v is None for v in g[4 * p : 4 * p + 3]) or 4 * p + 3 > len(g) else 0.299 * g[4 * p] + 0.587 * g[4 * p + 1] + 0.114 * g[4 * p + 2] for p in range(72)]
+    darker = lambda a, b: a is not None and b is not None and a < b
+    return f"{int(''.join('01'[darker(luma[9 * y + x], luma[9 * y + x + 1])] for y in range(8) for x in range(8)), 2):016x}"
+
+
+def test_hashes_of_every_part(spark, tmp_path):
+    spark.createDataFrame([(i, i % 50) for i in range(600)], "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    out = Q.photo_hash(spark, str(tmp_path))
+    want = {i: brute_hash([(k * 37 + i * 11 + k % 4 * (i % 50)) % 251 for k in range(288)]) for i in range(600)}
+    assert {r["p_partkey"]: r["dhash"] for r in out.collect()} == want and out.rdd.getNumPartitions() > 1
+    gaps = spark.createDataFrame([([1, None] * 144,), (list(range(200)),), ([],)], "g array<int>")
+    assert [r[0] for r in gaps.select(image.dhash(F.col("g"))).collect()] == [brute_hash(g) for g in ([1, None] * 144, list(range(200)), [])]
