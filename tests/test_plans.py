@@ -38,3 +38,19 @@ def test_details_of_every_item(spark, monkeypatch):
     monkeypatch.setattr(Q, "_scored", scored)
     got = Q.deep_merge(spark, "").collect()
     assert len(got) == 9 and all((r["score"], r["action"], r["from_details"]) == (50, "hide", True) for r in got)
+
+
+def test_static_hits_match_each_text_once(spark, tmp_path):
+    """Reposts of the same texts count, but are matched once; equal to the query's SQL."""
+    import duckdb
+
+    lines = [(o, n, pk, pk % 3 + 1) for o in range(60) for n, pk in ((1, o % 6), (2, o % 9))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, f"Supplier#{i}", i) for i in (1, 2, 3, 4)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(i, f"NATION {i}") for i in range(5)], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "supplier", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    out = Q.static_rule_hits(spark, str(tmp_path))
+    assert "count(1) AS n" in out._jdf.queryExecution().analyzed().toString().split("_gate0")[-1]
+    assert sorted(map(tuple, out.collect())) == sorted(con.execute(Q.SQL["static_rule_hits"]).fetchall()) != []
