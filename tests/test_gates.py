@@ -77,3 +77,22 @@ def test_every_match_passes_its_gate():
                 k = all_gates.at[pattern]
                 assert any(all_gates.masks[k // 63][all_gates.words.index(w)] >> k % 63 & 1 for w in words), (pattern, text)
     assert hits > 3000
+
+
+def test_bits_of_batches_decide(spark):
+    """Where a bit is sure it is the match itself; elsewhere it never loses one."""
+    import re._parser as P
+
+    from pyspark.sql import functions as F
+
+    rng, all_gates = random.Random(8), gates.Gates(PATTERNS, elsewhere=(X.CATEGORY_NOUNS,))
+    assert len(all_gates.sure) > 70 and X.CATEGORY_NOUNS not in all_gates.sure
+    texts = ["", " ", None] + [" ".join(re.sub("[^\x00-\x7f]", "·", sample(rng, P.parse(p))).split()).lower() for p in PATTERNS for _ in range(3)] + ["xtemux", "temu", "shelves·lv"]
+    # the engine of the columns, pattern by pattern
+    hits = F.array(*[F.coalesce(F.col("t").rlike("(?i)" + p), F.lit(False)) for p in all_gates.at])
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2).withColumn("b", all_gates.bits(F.col("t"))).select("t", "b", hits.alias("h")).collect()
+    assert len(rows) == len(texts) and sum(map(sum, (r["h"] for r in rows))) > 200
+    for r in rows:
+        for (p, k), hit in zip(all_gates.at.items(), r["h"]):
+            bit = bool(r["b"][k // 63] >> k % 63 & 1)
+            assert bit == hit if p in all_gates.sure else bit or not hit, (p, r["t"])

@@ -54,3 +54,31 @@ def test_static_hits_match_each_text_once(spark, tmp_path):
     out = Q.static_rule_hits(spark, str(tmp_path))
     assert "count(1) AS n" in out._jdf.queryExecution().analyzed().toString().split("_gate0")[-1]
     assert sorted(map(tuple, out.collect())) == sorted(con.execute(Q.SQL["static_rule_hits"]).fetchall()) != []
+
+
+def test_listings_are_dealt_as_keys(spark, tmp_path):
+    """One exchange by page, of keys, serves the grouping and the windows; texts are made after it."""
+    from gleaner.plans.listings import listings
+
+    spark.createDataFrame([(1, 1, 5, 1)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "S", 1)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, "N")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    plan = listings(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "visible_text" not in plan[plan.index("Exchange hashpartitioning(") :]
+
+
+def test_levels_are_scored_once(spark):
+    from dataclasses import replace
+
+    from gleaner.functions.settings import Settings
+    from gleaner.operators import evaluate
+    from gleaner.operators.score import score
+
+    rows = [("Temu lamp brand new", "$20", "Bend, OR", "ships from our warehouse", "slop"), ("Oak desk", "Free", "Bend, OR", "real price $250 in description", "legit"), ("Garden bench sold", None, "", None, "legit")]
+    entries = spark.createDataFrame(rows, "title string, price_text string, location_text string, body string, label string")
+    for base in (Settings(), Settings(filter_mode="dim"), Settings(allow_terms=("garden bench",)), Settings(enabled=False)):
+        cols = ["title", "view", "score", "action", "matches"]
+        got = evaluate.evaluated(entries, base=base)
+        want = [(*r, lv) for lv in evaluate.LEVELS for r in score(evaluate.views(entries), replace(base, aggressiveness=lv)).select(*cols).collect()]
+        assert sorted(map(tuple, got.select(*cols, "level").collect()), key=repr) == sorted(want, key=repr)
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == (3 if base.allow_terms else int(base.enabled))
