@@ -9,20 +9,21 @@ from pyspark.sql import functions as F
 def merge_details(cards: DataFrame, details: DataFrame) -> DataFrame:
     """Scored cards with scored details of the same item: the stronger verdict, the card's on a tie.
 
-    Of several detail rows of an item the one with the latest ``fetched_at`` counts (without that column, the strongest); rows
+    Of score, action, matches, title and url those that the cards have are merged. Of several detail rows of an item the one with the latest ``fetched_at`` counts (without that column, the strongest); rows
     whose ``fresh`` is not true do not count. The join is an equi-join on the item; Spark broadcasts
     the details only under its size threshold.
     """
     if "fresh" in details.columns:
         details = details.where("fresh")
-    kept = ("score", "action", "matches", "title", "url")
+    kept = [c for c in ("score", "action", "matches", "title", "url") if c in cards.columns]
     order = F.struct(*[c for c in ("fetched_at", "score", "action", "url", "title") if c in details.columns])
     details = details.where("item_id is not null").groupBy("item_id").agg(F.max_by(F.struct(*kept), order).alias("d")).select("item_id", "d.*")
-    d = details.select(F.col("item_id").alias("_item"), *[F.col(c).alias(f"_{c}") for c in ("score", "action", "matches", "title", "url")])
+    d = details.select(F.col("item_id").alias("_item"), *[F.col(c).alias(f"_{c}") for c in kept])
     out = cards.join(d, F.col("item_id") == F.col("_item"), "left")
     wins = F.coalesce(F.col("_score") > F.col("score"), F.lit(False))
-    pick = {c: F.when(wins, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("score", "action", "matches", "title")}
-    pick |= {"url": F.coalesce(F.when(wins, F.col("_url")), F.col("url")), "from_details": wins}
+    pick = {c: F.when(wins, F.col(f"_{c}")).otherwise(F.col(c)) for c in kept if c != "url"} | {"from_details": wins}
+    if "url" in kept:
+        pick["url"] = F.coalesce(F.when(wins, F.col("_url")), F.col("url"))
     return out.withColumns(pick).select(*cards.columns, "from_details")
 
 
