@@ -25,12 +25,15 @@ def _large(n: Column) -> Column:
 
 def _climb(path: Column, stop, fits, halt=None) -> Column:
     """The outermost element that fits, below the first one that stops the climb and not beyond the first that halts it; null without one."""
-    nodes = F.transform(path, lambda n, i: F.struct(i.alias("i"), n.alias("n")))
-    beyond = F.lit(1 << 30)
-    stop_at = F.coalesce(F.array_min(F.transform(F.filter(nodes, lambda x: stop(x["n"])), lambda x: x["i"])), beyond)
-    halt_at = F.coalesce(F.array_min(F.transform(F.filter(nodes, lambda x: halt(x["n"])), lambda x: x["i"])), beyond) if halt else beyond
-    fit = F.filter(nodes, lambda x: fits(x["n"]) & (x["i"] < stop_at) & (x["i"] <= halt_at))
-    return F.when(F.size(fit) > 0, F.element_at(fit, -1)["n"])
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    state = lambda i, at, done: F.struct(i.alias("i"), at.alias("at"), done.alias("done"))
+
+    def step(a, n):
+        over = a["done"] | sure(stop(n))
+        return state(a["i"] + 1, F.when(~over & sure(fits(n)), a["i"]).otherwise(a["at"]), over | sure(halt(n)) if halt else over)
+
+    # one walk outwards, which remembers where the last fitting element was
+    return F.get(path, F.aggregate(path, state(F.lit(0), F.lit(-1), F.lit(False)), step, lambda a: F.nullif(a["at"], F.lit(-1))))
 
 
 def _first(found: DataFrame) -> DataFrame:
@@ -49,6 +52,30 @@ def _node_fields(links: DataFrame) -> list[str]:
     return links.schema["path"].dataType.elementType.names
 
 
+def _runs(links: DataFrame) -> DataFrame:
+    """Links with the first and last rank of their run of equal listings."""
+    rows = links.withColumn("_key", F.coalesce(T.item_id(F.col("href")), "href"))
+    order = W.partitionBy("page_id", "is_item").orderBy("rank")
+    rows = rows.withColumn("_new", (~F.col("_key").eqNullSafe(F.lag("_key").over(order))).cast("int")).withColumn("_run", F.sum("_new").over(order))
+    run = W.partitionBy("page_id", "is_item", "_run")
+    return rows.withColumns({"_lo": F.min("rank").over(run), "_hi": F.max("rank").over(run)})
+
+
+def _card_node() -> Column:
+    """Of ``_runs``: the card around a listing link."""
+    one = lambda n: (n["items"] >= 1) & (n["first_item"] >= F.col("_lo")) & (n["first_item"] + n["items"] - 1 <= F.col("_hi"))
+    fits = lambda n: one(n) & n["raw"].between(X.CARD_TEXT_MIN, X.CARD_TEXT_MAX) & _large(n)
+    halt = lambda n: ((n["items"] >= 1) & ~one(n)) | (n["items"] > X.CARD_LINKS_STOP) | (n["raw"] > X.CARD_TEXT_STOP)
+    return F.coalesce(_climb(F.col("path"), lambda n: n["stop"], fits, halt), F.get("path", F.lit(0)))
+
+
+def _cell_node() -> Column:
+    """The ad unit around an ad link."""
+    stop = lambda n: n["stop"] | (n["clean"] > X.CARD_TEXT_MAX) | (n["items"] > 0)
+    fits = lambda n: (n["sponsored"] > 0) & (n["clean"] >= X.CARD_TEXT_MIN) & _large(n)
+    return _climb(F.col("path"), stop, fits)
+
+
 def cards(links: DataFrame) -> DataFrame:
     """page_id, card (element), link and href (the first link to it) of all listing cards.
 
@@ -57,16 +84,7 @@ def cards(links: DataFrame) -> DataFrame:
     marked element is the card of all links in it; what lies in this library's own elements is none.
     """
     fields = _node_fields(links)
-    items = links.where("is_item").withColumn("_key", F.coalesce(T.item_id(F.col("href")), "href"))
-    order = W.partitionBy("page_id").orderBy("rank")
-    items = items.withColumn("_new", (~F.col("_key").eqNullSafe(F.lag("_key").over(order))).cast("int")).withColumn("_run", F.sum("_new").over(order))
-    run = W.partitionBy("page_id", "_run")
-    items = items.withColumns({"_lo": F.min("rank").over(run), "_hi": F.max("rank").over(run)})
-    one = lambda n: (n["items"] >= 1) & (n["first_item"] >= F.col("_lo")) & (n["first_item"] + n["items"] - 1 <= F.col("_hi"))
-    fits = lambda n: one(n) & n["raw"].between(X.CARD_TEXT_MIN, X.CARD_TEXT_MAX) & _large(n)
-    halt = lambda n: ((n["items"] >= 1) & ~one(n)) | (n["items"] > X.CARD_LINKS_STOP) | (n["raw"] > X.CARD_TEXT_STOP)
-    node = F.coalesce(_climb(F.col("path"), lambda n: n["stop"], fits, halt), F.get("path", F.lit(0)))
-    found = _rows(items, node, fields)
+    found = _rows(_runs(links.where("is_item")), _card_node(), fields)
     return _first(found.where(~F.coalesce("own", F.lit(False))) if "own" in fields else found)
 
 
@@ -75,20 +93,27 @@ def sponsored_cells(links: DataFrame, found: DataFrame | None = None) -> DataFra
 
     Elements that are listing cards already (``found``) are none.
     """
+    if found is None:
+        return discover(links).where("sponsored").drop("sponsored")
     fields = _node_fields(links)
-    ads = links.where("is_ad")
-    stop = lambda n: n["stop"] | (n["clean"] > X.CARD_TEXT_MAX) | (n["items"] > 0)
-    fits = lambda n: (n["sponsored"] > 0) & (n["clean"] >= X.CARD_TEXT_MIN) & _large(n)
-    cells = _rows(ads, _climb(F.col("path"), stop, fits), fields).where("card is not null")
+    cells = _rows(links.where("is_ad"), _cell_node(), fields).where("card is not null")
     cells = _first(cells.where(~F.coalesce("own", F.lit(False))) if "own" in fields else cells)
-    known = cards(links) if found is None else found
-    return cells.join(known.select("page_id", "card"), ["page_id", "card"], "left_anti")
+    return cells.join(found.select("page_id", "card"), ["page_id", "card"], "left_anti")
 
 
 def discover(links: DataFrame) -> DataFrame:
-    """Cards and ad units of all pages; ``sponsored`` tells them apart."""
-    found = cards(links)
-    return found.withColumn("sponsored", F.lit(False)).unionByName(sponsored_cells(links, found).withColumn("sponsored", F.lit(True)))
+    """Cards and ad units of all pages, from one look at the links; ``sponsored`` tells them apart."""
+    fields = _node_fields(links)
+    way = lambda on, node, ad: F.when(F.col(on), F.struct(F.coalesce("marked", node).alias("n"), F.lit(ad).alias("ad")))
+    ways = F.filter(F.array(way("is_item", _card_node(), False), way("is_ad", _cell_node(), True)), lambda w: w.isNotNull())
+    kept = [c for c in ("link", "href", "label") if c in links.columns]
+    rows = _runs(links).select("page_id", *kept, F.explode(ways).alias("w")).where("not w.ad or w.n.el is not null")
+    if "own" in fields:
+        rows = rows.where("not coalesce(w.n.own, false)")
+    kept = [F.col(c) for c in kept] + [F.col(f"w.n.{c}") for c in ("safe", "l0", "l1", "a0", "a1", "i0", "i1") if c in fields]
+    # an element that a listing link leads to is a card, whatever else leads there
+    first = F.min_by(F.struct(*kept, F.col("w.ad").alias("sponsored")), F.struct("w.ad", "link")).alias("f")
+    return rows.groupBy("page_id", F.col("w.n.el").alias("card")).agg(first).select("page_id", "card", "f.*")
 
 
 def snapshots(pages: DataFrame, found: DataFrame) -> DataFrame:
